@@ -20,34 +20,31 @@ def drop_low(reviews: DataFrame, minimum: int = 3) -> DataFrame:
     return reviews.where(F.col("rating") >= minimum)
 
 
-def cap_reviews(reviews: DataFrame, limit: int = 500, minimum: int = 3) -> DataFrame:
-    """The best ``limit`` reviews per user, low ones cut, on long rows.
+def top_rated(reviews: DataFrame, limit: int = 500) -> DataFrame:
+    """The best ``limit`` reviews per user with their place ``pos``.
 
-    A user all of whose ratings are below ``minimum`` keeps them, as in the original job.
-    That test is an aggregate per user and the cut a bounded rank, so a user with very many
-    reviews is reduced before the shuffle.
+    A bounded rank: a user with very many reviews is cut before the shuffle.
     """
-    best = reviews.groupBy("user_id").agg(F.max("rating").alias("best"))
-    kept = (
-        reviews.join(best, "user_id")
-        .where((F.col("rating") >= minimum) | (F.col("best") < minimum))
-        .drop("best")
-    )
     w = Window.partitionBy("user_id").orderBy(F.desc("rating"), "review_id")
     return (
-        kept.withColumn("pos", F.row_number().over(w))
+        reviews.withColumn("pos", F.row_number().over(w))
         .where(F.col("pos") <= limit)
         .withColumn("pos", F.col("pos").cast("bigint"))
     )
 
 
-def top_rated(reviews: DataFrame, limit: int = 500) -> DataFrame:
-    """The best ``limit`` reviews per user, without the low cut."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("rating"), "review_id")
+def cap_reviews(reviews: DataFrame, limit: int = 500, minimum: int = 3) -> DataFrame:
+    """The best ``limit`` reviews per user without the low ones.
+
+    A user all of whose ratings are below ``minimum`` keeps them, as in the original job: that is
+    so where the first place is low, which is looked up among the at most ``limit`` rows left.
+    """
+    w = Window.partitionBy("user_id").orderBy("pos")
     return (
-        reviews.withColumn("pos", F.row_number().over(w))
-        .where(F.col("pos") <= limit)
-        .withColumn("pos", F.col("pos").cast("bigint"))
+        top_rated(reviews, limit)
+        .withColumn("best", F.first("rating").over(w))
+        .where((F.col("rating") >= minimum) | (F.col("best") < minimum))
+        .drop("best")
     )
 
 

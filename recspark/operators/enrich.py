@@ -12,15 +12,17 @@ def is_empty(col: Column | str) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) <= 0
 
 
+def _with_shelves(books: DataFrame) -> DataFrame:
+    return books.where(~is_empty("list_shelves"))
+
+
 def resolve_shelves(reviews: DataFrame, books: DataFrame) -> DataFrame:
     """Fill an empty ``list_shelves`` from ``books(gid, list_shelves)`` by ``book_gid``.
 
     ``resolved`` tells whether the review has shelves afterwards. Only books with shelves are
     joined, and only reviews that need one, so a popular book's reviews move once at most.
     """
-    known = books.where(~is_empty("list_shelves")).select(
-        F.col("gid").alias("book_gid"), F.col("list_shelves").alias("_found")
-    )
+    known = _with_shelves(books).select(F.col("gid").alias("book_gid"), F.col("list_shelves").alias("_found"))
     need = reviews.where(is_empty("list_shelves"))
     filled = need.join(known, "book_gid", "left").withColumn("list_shelves", F.col("_found")).drop("_found")
     both = reviews.where(~is_empty("list_shelves")).unionByName(filled)
@@ -42,30 +44,33 @@ def enrich_reviews(
     if on_missing not in ("retry", "drop"):
         raise ValueError(f"unknown mode {on_missing!r}")
     todo = users.where("reviews_retrieved and not shelves_reviews_retrieved").select("gid")
-    mine = reviews.join(todo.withColumnRenamed("gid", "user_gid"), "user_gid", "left_semi")
-    others = reviews.join(todo.withColumnRenamed("gid", "user_gid"), "user_gid", "left_anti")
-    resolved = resolve_shelves(mine, books)
-    per_user = resolved.groupBy(F.col("user_gid").alias("gid")).agg(F.bool_and("resolved").alias("all_resolved"))
-    if on_missing == "drop":
-        resolved = resolved.where("resolved")
-        done = F.lit(True)
+    whose = todo.select(F.col("gid").alias("user_gid"), F.lit(True).alias("_todo"))
+    known = _with_shelves(books).select(F.col("gid").alias("book_gid"), F.col("list_shelves").alias("_found"))
+    # Only reviews without shelves meet the books; the others pass straight through.
+    bare = reviews.where(is_empty("list_shelves")).join(known, "book_gid", "left").join(whose, "user_gid", "left")
+    missing = F.col("_todo").isNotNull() & F.col("_found").isNull()
+    stuck = bare.where(missing).select(F.col("user_gid").alias("gid")).distinct()
+    kept = bare if on_missing == "retry" else bare.where(~missing)
+    filled = kept.withColumn(
+        "list_shelves", F.when(F.col("_todo").isNotNull(), F.col("_found")).otherwise(F.col("list_shelves"))
+    ).select(*reviews.columns)
+    new_reviews = reviews.where(~is_empty("list_shelves")).unionByName(filled)
+
+    has = reviews.select(F.col("user_gid").alias("gid"), F.lit(True).alias("_has")).distinct()
+    state = todo.join(has, "gid", "left").select("gid", F.coalesce("_has", F.lit(False)).alias("_has"))
+    if on_missing == "retry":
+        state = state.join(stuck.withColumn("_stuck", F.lit(True)), "gid", "left")
     else:
-        done = F.col("all_resolved")
-    state = todo.join(per_user, "gid", "left").select(
-        "gid", F.col("all_resolved").isNotNull().alias("_has"), F.coalesce(done, F.lit(False)).alias("_done")
-    )
+        state = state.withColumn("_stuck", F.lit(None).cast("boolean"))
     touched = F.col("_has").isNotNull()
-    new_users = users.join(state, "gid", "left").select(
-        *[
-            F.when(touched, F.col("_has")).otherwise(F.col(c)).alias(c)
-            if c == "reviews_retrieved"
-            else F.when(touched, F.col("_has") & F.col("_done")).otherwise(F.col(c)).alias(c)
-            if c == "shelves_reviews_retrieved"
-            else F.col(c)
-            for c in users.columns
-        ]
-    )
-    return new_users, resolved.drop("resolved").unionByName(others)
+    done = F.col("_has") & F.col("_stuck").isNull()
+
+    def value(name: str) -> Column:
+        new = {"reviews_retrieved": F.col("_has"), "shelves_reviews_retrieved": done}.get(name)
+        return F.col(name) if new is None else F.when(touched, new).otherwise(F.col(name)).alias(name)
+
+    new_users = users.join(state, "gid", "left").select(*[value(c) for c in users.columns])
+    return new_users, new_reviews
 
 
 def enrich_nested_users(users: DataFrame, books: DataFrame, on_missing: str = "retry") -> DataFrame:
@@ -137,7 +142,7 @@ def nested_count_mismatch(users: DataFrame) -> DataFrame:
 
 def consistency_report(users: DataFrame, reviews: DataFrame, books: DataFrame) -> DataFrame:
     """``(rule, violations)`` over the curated tables."""
-    known = books.where(~is_empty("list_shelves")).select(F.col("gid").alias("book_gid"))
+    known = _with_shelves(books).select(F.col("gid").alias("book_gid"))
     bare = reviews.where(is_empty("list_shelves"))
     missing = bare.join(known, "book_gid", "left_anti")
 

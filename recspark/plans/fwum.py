@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from recspark.operators.evaluate import evaluate_topn
 from recspark.operators.profile import user_profiles
-from recspark.operators.recommend import item_scores, neighbor_items, neighborhood_frequency, top_items
+from recspark.operators.recommend import (
+    distinct_neighborhoods,
+    item_scores,
+    neighbor_items,
+    neighborhood_frequency,
+    share_items,
+    top_items,
+)
 from recspark.operators.similarity import nearest_users
 from recspark.operators.split import split_holdout
 from recspark.session import materialize
@@ -69,10 +76,11 @@ def run_fwum(interactions: DataFrame, params: FwumParams = FwumParams()) -> Fwum
     split = materialize(split_holdout(interactions, params.train_pct, params.seed), "split")
     profiles = materialize(user_profiles(split), "profiles")
     neighbors = materialize(nearest_users(profiles, params.n_similar), "neighbors")
-    scores = item_scores(
-        neighbor_items(neighbors, split), neighborhood_frequency(neighbors, profiles)
-    )
-    return FwumResult(split, profiles, neighbors, top_items(scores, params.n_items))
+    hoods, members = distinct_neighborhoods(neighbors)
+    hoods = materialize(hoods, "neighborhoods")
+    scores = item_scores(neighbor_items(hoods, split), neighborhood_frequency(hoods, profiles))
+    recs = share_items(top_items(scores, params.n_items), members)
+    return FwumResult(split, profiles, neighbors, recs)
 
 
 def fwum_recommend(interactions: DataFrame, params: FwumParams = FwumParams()) -> DataFrame:
