@@ -38,10 +38,11 @@ def build_trust_graph(
     """``(edges, reviews, targets)`` of the graph.
 
     Edges are capped per source and kept only between users with reviews; reviews are kept
-    for users of a capped edge; targets are the first reviews of each user.
+    for users of a capped edge; targets are the first reviews of each user. The two tables
+    that the others derive from are written once.
     """
-    capped = cap_out_degree(edges, max_out)
-    kept = reviews.join(endpoints(capped), "user_id", "left_semi")
+    capped = materialize(cap_out_degree(edges, max_out), "capped-edges")
+    kept = materialize(reviews.join(endpoints(capped), "user_id", "left_semi"), "graph-reviews")
     rated = kept.select("user_id").distinct()
     walkable = (
         capped.where("src <> dst")

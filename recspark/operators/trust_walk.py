@@ -16,7 +16,7 @@ def stop_factor(hop: int) -> float:
     return 1.0 / (1.0 + math.exp(-hop / 2.0))
 
 
-def best_match(pairs: DataFrame, reviews: DataFrame, item_sim: DataFrame, head: int = 64) -> DataFrame:
+def best_match(pairs: DataFrame, reviews: DataFrame, item_sim: DataFrame, head: int = 16) -> DataFrame:
     """``(dst, target_item, sim, rating)``: the rated item of ``dst`` closest to the target.
 
     Ties go to the lower item. Depends on the user and the target alone, so each distinct
@@ -38,8 +38,10 @@ def best_match(pairs: DataFrame, reviews: DataFrame, item_sim: DataFrame, head:
             .select("dst", "target_item", (-F.col("b.minus")).alias("sim"), F.col("b.rating").alias("rating"))
         )
 
-    first = pick(
-        pairs.join(ranked.where(F.col("rn") <= head).drop("rn"), "target_item").join(rated, ["dst", "item"])
+    pairs = materialize(pairs, "match-pairs")
+    first = materialize(
+        pick(pairs.join(ranked.where(F.col("rn") <= head).drop("rn"), "target_item").join(rated, ["dst", "item"])),
+        "closest-matches",
     )
     longer = ranked.where(F.col("rn") == head + 1).select("target_item")
     left = pairs.join(longer, "target_item", "left_semi").join(first, ["dst", "target_item"], "left_anti")

@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _coarse() -> F.Column:
+    """Feature number of a part: brand and size."""
+    return F.substring("p_brand", 7, 9).cast("bigint") * 100 + F.col("p_size")
+
+
+def _fine() -> F.Column:
+    """Feature number of a part: brand, size and type (initial and length tell types apart)."""
+    return _coarse() * 1000 + F.ascii("p_type") * 10 + F.length("p_type")
+
+
 class Tables:
     """Lazy readers of the parquet tables of one folder."""
 
@@ -40,8 +50,8 @@ class Tables:
         best = self.purchases().groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"))
         part = self("part").select(
             F.col("p_partkey").alias("item_id"),
-            F.concat_ws("|", "p_brand", "p_type", "p_size").alias("category"),
-            F.when(F.col("p_size") <= 40, F.concat_ws("|", "p_brand", "p_size")).alias("parent"),
+            _fine().alias("category"),
+            F.when(F.col("p_size") <= 40, _coarse()).alias("parent"),
         )
         return best.join(part, "item_id")
 
@@ -50,7 +60,7 @@ class Tables:
         pairs = self.purchases().select("user_id", "item_id").distinct()
         part = self("part").select(
             F.col("p_partkey").alias("item_id"),
-            F.concat_ws("|", "p_brand", "p_type", "p_size").alias("feature"),
+            _fine().alias("feature"),
         )
         return pairs.join(part, "item_id")
 
@@ -59,11 +69,7 @@ class Tables:
         pairs = self.purchases().select("user_id", "item_id").distinct()
         part = self("part").select(
             F.col("p_partkey").alias("item_id"),
-            F.array(
-                F.concat_ws("|", "p_brand", "p_type", "p_size"),
-                F.concat_ws("|", "p_brand", "p_size"),
-                F.concat_ws("|", "p_brand", "p_size"),
-            ).alias("features"),
+            F.array(_fine(), _coarse(), _coarse()).alias("features"),
         )
         return pairs.join(part, "item_id").select(
             "user_id", F.array(F.struct("item_id", "features")).alias("items")
@@ -158,19 +164,21 @@ SQL = {
     "purchases": """purchases AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(ceil(l_quantity / 10) AS DOUBLE) AS rating,
          l_orderkey * 8 + l_linenumber AS line_id, l_orderkey, l_quantity, l_shipdate
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+features AS (
+  SELECT p_partkey AS item_id, p_size, CAST(substr(p_brand, 7) AS BIGINT) * 100 + p_size AS coarse,
+         (CAST(substr(p_brand, 7) AS BIGINT) * 100 + p_size) * 1000 + ascii(p_type) * 10 + length(p_type) AS fine
+  FROM part)""",
     "ratings": """ratings AS (
-  SELECT user_id, item_id, rating, concat_ws('|', p_brand, p_type, p_size) AS category,
-         CASE WHEN p_size <= 40 THEN concat_ws('|', p_brand, p_size) END AS parent
+  SELECT user_id, item_id, rating, fine AS category, CASE WHEN p_size <= 40 THEN coarse END AS parent
   FROM (SELECT user_id, item_id, max(rating) AS rating FROM purchases GROUP BY ALL)
-  JOIN part ON p_partkey = item_id)""",
+  JOIN features USING (item_id))""",
     "interactions": """interactions AS (
-  SELECT user_id, item_id, concat_ws('|', p_brand, p_type, p_size) AS feature
-  FROM (SELECT DISTINCT user_id, item_id FROM purchases) JOIN part ON p_partkey = item_id)""",
+  SELECT user_id, item_id, fine AS feature
+  FROM (SELECT DISTINCT user_id, item_id FROM purchases) JOIN features USING (item_id))""",
     "nested_long": """nested_long AS (
-  SELECT user_id, item_id, unnest([concat_ws('|', p_brand, p_type, p_size), concat_ws('|', p_brand, p_size),
-         concat_ws('|', p_brand, p_size)]) AS feature
-  FROM (SELECT DISTINCT user_id, item_id FROM purchases) JOIN part ON p_partkey = item_id)""",
+  SELECT user_id, item_id, unnest([fine, coarse, coarse]) AS feature
+  FROM (SELECT DISTINCT user_id, item_id FROM purchases) JOIN features USING (item_id))""",
     "positive": """positive AS (
   SELECT user_id, item_id, coalesce(parent, category) AS feature FROM ratings WHERE rating > 3.0)""",
     "trust_rows": """trust_rows AS (

@@ -531,7 +531,7 @@ def _book_xml(t: Tables) -> DataFrame:
     similar = tag("book", F.concat(tag("id", num(key + 1)), tag("title_without_series", F.lit("näxt")), F.lit("<isbn>1</isbn><isbn13>2</isbn13><average_rating>3.5</average_rating><ratings_count>4</ratings_count>"), tag("authors", author(key % 89))))
     return t("part").select(
         F.concat(
-            F.lit("<GoodreadsResponse><book>"),
+            F.lit("<response><book>"),
             tag("id", num(key)), tag("title", F.concat("p_name", F.lit("é"))), F.lit("<isbn>0123</isbn><isbn13>978</isbn13>"),
             F.lit("<publication_year>2011</publication_year>"),
             tag("publication_month", num(key % 12 + 1)),
@@ -539,7 +539,7 @@ def _book_xml(t: Tables) -> DataFrame:
             tag("description", F.lit("d")), tag("average_rating", num(F.col("p_retailprice"))),
             tag("ratings_count", num(F.col("p_size"))), F.lit("<text_reviews_count>5</text_reviews_count>"),
             tag("popular_shelves", shelf_text), tag("authors", F.concat(author(key % 97), F.when(key % 2 == 0, author(key % 89)).otherwise(F.lit("")))),
-            tag("similar_books", similar), F.lit("</book></GoodreadsResponse>"),
+            tag("similar_books", similar), F.lit("</book></response>"),
         ).alias("xml")
     )
 
@@ -570,11 +570,11 @@ def user_documents(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     docs = t("customer").select(
         F.concat(
-            F.lit("<GoodreadsResponse><user>"), tag("id", key), tag("name", F.col("c_name")), tag("location", F.col("c_mktsegment")),
+            F.lit("<response><user>"), tag("id", key), tag("name", F.col("c_name")), tag("location", F.col("c_mktsegment")),
             tag("age", F.col("c_nationkey")), F.lit("<gender>x</gender><interests/><friends_count type=\"integer\">"),
             (key % 9).cast("string"), F.lit("</friends_count><reviews_count type=\"integer\">3</reviews_count>"),
             F.when(key % 2 == 0, F.lit("<favorite_authors><author><id>1</id><name>A</name></author></favorite_authors>")).otherwise(F.lit("")),
-            F.lit("</user></GoodreadsResponse>"),
+            F.lit("</user></response>"),
         ).alias("xml")
     )
     return xml.parse_user_xml(docs).select(
@@ -592,9 +592,9 @@ def friend_documents(t: Tables) -> DataFrame:
     docs = t("customer").select(
         key.alias("user_gid"),
         F.concat(
-            F.lit('<GoodreadsResponse><friends total="'), (key % 4).cast("string"), F.lit('">'),
+            F.lit('<response><friends total="'), (key % 4).cast("string"), F.lit('">'),
             F.when(key % 3 > 0, user(key + 1)).otherwise(F.lit("")), F.when(key % 3 > 1, user(key + 2)).otherwise(F.lit("")),
-            F.lit("</friends></GoodreadsResponse>"),
+            F.lit("</friends></response>"),
         ).alias("xml"),
     )
     rows = xml.parse_friends_xml(docs)

@@ -101,23 +101,15 @@ def nested_interactions_exploded(t: Tables) -> DataFrame:
     return fwum.explode_interactions(t.spark.read.parquet(path))
 
 
-_NUMERIC = """SELECT user_id, rating, item_id, p_size * 100 + CAST(substr(p_brand, 7) AS BIGINT) AS category,
-       CASE WHEN p_size <= 40 THEN CAST(p_size AS BIGINT) ELSE -1 END AS parent
-FROM ratings JOIN part ON p_partkey = item_id"""
-
-
-@query(with_views("purchases", "ratings") + _NUMERIC)
+@query(
+    with_views("purchases", "ratings") + "SELECT user_id, rating, item_id, category, coalesce(parent, -1) AS parent FROM ratings"
+)
 def ratings_csv_scan(t: Tables) -> DataFrame:
     """Ratings through their text form: header line, ``NULL`` for a missing parent."""
-    part = t("part").select(
-        F.col("p_partkey").alias("item_id"),
-        (F.col("p_size") * 100 + F.substring("p_brand", 7, 9).cast("bigint")).alias("idcategory"),
-        F.when(F.col("p_size") <= 40, F.col("p_size")).alias("own_parent"),
-    )
     path = new_path(t.spark, "ratings-csv")
-    t.ratings().join(part, "item_id").select(
-        F.col("user_id").alias("iduser"), "rating", F.col("item_id").alias("idproduct"), "idcategory",
-        F.col("own_parent").alias("parent"),
+    t.ratings().select(
+        F.col("user_id").alias("iduser"), "rating", F.col("item_id").alias("idproduct"),
+        F.col("category").alias("idcategory"), "parent",
     ).write.csv(path, header=True, nullValue="NULL")
     return tables.read_ratings_csv(t.spark, path).fillna(-1, ["parent"])
 

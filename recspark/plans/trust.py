@@ -46,7 +46,6 @@ class TrustResult:
 def prepare_graph(edges: DataFrame, reviews: DataFrame, params: TrustParams = TrustParams()) -> TrustGraph:
     """Graph tables and item similarity, each written once for the hops that follow."""
     links, kept, targets = build_trust_graph(edges, reviews, params.max_out, params.n_targets)
-    kept = materialize(kept, "graph-reviews")
     links = materialize(links, "graph-edges")
     targets = materialize(targets, "graph-targets")
     n_users = kept.agg(F.count_distinct("user_id").alias("n"))

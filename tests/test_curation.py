@@ -164,9 +164,9 @@ def test_shelf_table_chunks(spark):
     assert all(len(r.list_book) < 40 for r in rows)
 
 
-BOOK = """<GoodreadsResponse><book><id>5</id><title>Café</title><isbn/><publication_year>2011</publication_year>
+BOOK = """<response><book><id>5</id><title>Café</title><isbn/><publication_year>2011</publication_year>
 <average_rating>4.1</average_rating><ratings_count>7</ratings_count><popular_shelves>{shelves}</popular_shelves>
-<authors><author><id>1</id><name>A</name></author></authors></book></GoodreadsResponse>"""
+<authors><author><id>1</id><name>A</name></author></authors></book></response>"""
 
 
 def test_xml_shelves_one_many_none(spark):
