@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recspark.llm.frequent import frequent_grams
 from recspark.llm.words import Words, grams, mix, slices, words_of
@@ -242,19 +243,22 @@ def _mark():
     return F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).bitwiseAND(0xFFFF)
 
 
-def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each row of ``docs`` (``doc_id``, ``text``) with ``n_words``, ``n_removed`` and the text ``kept``.
+def drop_repeated(docs: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` of each row of ``docs`` (``doc_id``, ``text``).
 
-    ``kept`` has the words that stay, joined by one space.
+    ``kept`` has the words that stay, joined by one space. With ``carry`` a struct ``row`` of all columns comes
+    along.
     """
     ranges = repeated_ranges(docs, window)
     lists = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    rows = docs.select("doc_id", "text", _mark().alias("mark")).join(lists, ["doc_id", "mark"], "left")
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select("doc_id", "text", _mark().alias("mark"), *row).join(lists, ["doc_id", "mark"], "left")
+    rows = rows.select("doc_id", "text", "ranges", *(["row"] if carry else []))
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                out = {"doc_id": part.column(0), "n_words": [], "n_removed": [], "kept": []}
+                out = [], [], []
                 for text, ranges in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = (text or b"").split()
                     n = len(words)
@@ -264,15 +268,15 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         np.subtract.at(gone, [r["stop"] for r in ranges], 1)
                         stay = np.cumsum(gone)[:n] == 0
                         words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                    out["n_words"].append(n)
-                    out["n_removed"].append(n - len(words))
-                    out["kept"].append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [out["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    return rows.select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+                    for column, x in zip(out, (n, n - len(words), b" ".join(words).decode()), strict=True):
+                        column.append(x)
+                kinds = pa.int64(), pa.int64(), pa.string()
+                columns = [part.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", *part.schema.names[3:]])
+
+    kept = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    schema = T.StructType([rows.schema["doc_id"], *kept, *([rows.schema["row"]] if carry else [])])
+    return rows.mapInArrow(cut, schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from recspark.session import new_path
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 #: Ids of a block, blocks coded side by side, and words that a Python worker remembers.
-BLOCK_IDS, _LANES, _REMEMBERED = 16_384, 512, 500_000
+BLOCK_IDS, _LANES, _REMEMBERED = 4096, 1024, 500_000
 
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, size of the vocabulary, words of code, checksum of ids, of code

@@ -28,13 +28,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm.words import slices
-
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Bytes of the ordinary dictionary, of each of its training windows, and compression level.
 _ORDINARY_BYTES, _TRAIN_BYTES, _LEVEL = 8192, 256, 13
@@ -251,15 +249,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit_rows(chosen, counts.get(1, 0) / total)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every row; the score is 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text, 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def judge(batches):
-        model = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                score = [model.score(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+    @F.pandas_udf("double")
+    def judge(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, score double")
+    return judge(text)
