@@ -121,9 +121,9 @@ shingles AS MATERIALIZED (
   SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS MATERIALIZED (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (
-  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * both >= 90 * (x.n + y.n - both)),
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * common >= 90 * (x.n + y.n - common)),
 reach(x, y) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT x, z FROM reach JOIN (SELECT a AS y, b AS z FROM links UNION ALL SELECT b, a FROM links) USING (y))
