@@ -1,6 +1,7 @@
 """Jaccard self-join of texts on word n-grams, and the groups that its links form.
 
-Method: adaptive multi-match prefixes. Sets are sorted by one global order, rare shingles first. Two sets
+Method: adaptive multi-match prefixes. Sets are sorted by one global order, rare shingles first (by the counts
+of their words, as far as these are frequent). Two sets
 with Jaccard similarity ``t`` or more share a shingle among the first ``p = n - ceil(t * n) + 1`` of each,
 and ``l`` shingles among the first ``p + l - 1``. Every set picks its own ``l``: a longer prefix is taken
 while it lowers the estimated cost, that is entries read plus candidates to verify, of which there are at
@@ -8,9 +9,11 @@ most (sum of the shingles' counts) / l. A pair is verified only if it shares as
 smaller ``l`` of the two asks for.
 
 * Equal sets are one class, found by the digest of the set; only one row per class goes on.
-* First every member of a prefix shingle is paired with one leader, verified and linked. Then only pairs of
-  different components are counted, so a group of near copies costs about one pair per member and
+* First every set that shares a prefix shingle with another is paired with one leader, verified and linked.
+  Leaders are the sets whose shingles most others share: an original rather than one of its copies. Then only
+  pairs of different components are counted, so a group of near copies costs about one pair per member and
   shingle, not its square.
+* A pair is also dropped if its prefixes alone show more unshared shingles than a similar pair can have.
 * Sets are compared as 64-bit shingle hashes.
 
 Null texts and texts without words have the empty set, which links with nothing. Rows that repeat an id
@@ -28,30 +31,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.llm.components import connected_components
-from recspark.llm.frequent import Frequent, frequent_grams
-from recspark.llm.words import grams, slices, words_of
+from recspark.llm.frequent import SHARE, Frequent, frequent_grams
+from recspark.llm.words import grams, mix, slices, words_of
 from recspark.session import materialize
 
 SHINGLE, PERCENT = 3, 90
 #: Longest extension of a prefix, and the cost of verifying one candidate, in prefix entries read.
 _MAX_MATCHES, _VERIFY_COST = 4, 8
 _PAIRS = 1 << 16
+#: Leaders that a shingle's members are tried with, by size.
+_LEADERS = 4
 
 
-def shingle_sets(part: pa.Array, size: int, frequent: Frequent | None):
-    """The sorted shingle set of each text: hashes without their top bit, which marks frequent shingles."""
+class _Order:
+    """The global order of shingles: a class by expected frequency, then the hash."""
+
+    CLASS_BITS = 6
+
+    def __init__(self, words: Frequent, shingles: Frequent, n_words: int):
+        self.words, self.shingles = words, shingles
+        self.rare = np.log2(max(n_words * SHARE, 2.0)) - 1
+        self.top = float(np.log2(max(n_words, 4)))
+
+    def rank(self, hashes: np.ndarray, shingle: np.ndarray, size: int) -> np.ndarray:
+        n = len(shingle)
+        count = self.words.count(mix(hashes))
+        seen = np.where(count > 1, np.log2(count), self.rare)
+        mean = sum(seen[j : n + j] for j in range(size)) / size
+        kind = np.clip((mean - self.rare) / max(self.top - self.rare, 1e-9) * 60, 0, 61).astype(np.uint64)
+        kind[self.shingles.holds(shingle)] = 63
+        return (kind << np.uint64(64 - self.CLASS_BITS)) | (shingle >> np.uint64(self.CLASS_BITS))
+
+    def cost(self, ranked: np.ndarray) -> np.ndarray:
+        """Relative cost of reading each shingle's entries."""
+        return 2.0 ** (ranked >> np.uint64(64 - self.CLASS_BITS)).astype(np.float64).clip(0, 63) ** 0.5
+
+
+def shingle_sets(part: pa.Array, size: int, order: _Order | None):
+    """The sorted set of each text: shingle hashes, or with ``order`` their ranks."""
     words = words_of(part, lower=True)
     hashes = words.hashes()
-    value, whole = grams(hashes, words.first, size)
-    rank = value >> np.uint64(1)
-    if frequent is not None and len(value):
-        rank |= frequent.holds(value).astype(np.uint64) << np.uint64(63)
+    value, _ = grams(hashes, words.first, size)
+    if order is not None and len(value):
+        value = order.rank(hashes, value, size)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= size:
-            yield np.unique(rank[a : b - size + 1])
+            yield np.unique(value[a : b - size + 1])
         elif b > a:  # the whole sequence is one shingle; its length keeps it apart from longer ones
-            short, _ = grams(hashes[a:b], np.array([0, b - a]), b - a)
-            yield short >> np.uint64(1)
+            yield grams(hashes[a:b], np.array([0, b - a]), b - a)[0]
         else:
             yield np.zeros(0, np.uint64)
 
@@ -61,47 +88,36 @@ def required(n: int, percent: int) -> int:
     return ceil(percent * n / 100)
 
 
-def prefix_of(ranked: np.ndarray, percent: int, frequent: Frequent) -> tuple[int, np.ndarray]:
+def allowed(small, large, percent: int):
+    """Shingles that two sets of these sizes may not share and still link."""
+    both = -(-percent * (small + large) // (100 + percent))
+    return small + large - 2 * both
+
+
+def prefix_of(ranked: np.ndarray, percent: int, order: _Order) -> tuple[int, np.ndarray]:
     """The matches asked for, and the prefix that goes with them."""
     n = len(ranked)
     if not n:
         return 1, ranked
     p = n - required(n, percent) + 1
     longest = min(n, p + _MAX_MATCHES - 1)
-    count = np.ones(longest)
-    common = ranked[:longest] >> np.uint64(63) == 1
-    if common.any():
-        count[common] = frequent[ranked[:longest][common]]
-    total = np.cumsum(count)[p - 1 : longest]
+    total = np.cumsum(order.cost(ranked[:longest]))[p - 1 :]
     matches = np.arange(1, len(total) + 1)
     best = int(np.argmin(total + _VERIFY_COST * total / matches))
     return best + 1, ranked[: p + best]
 
 
-class _Counts:
-    """Counts of frequent shingles by their rank in the global order."""
-
-    def __init__(self, frequent: Frequent):
-        ranks = (frequent.set.values >> np.uint64(1)) | (np.uint64(1) << np.uint64(63))
-        self.ranks, self.counts = ranks, frequent.counts
-
-    def __getitem__(self, ranks: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.ranks, ranks), max(len(self.ranks) - 1, 0))
-        return self.counts[at]
-
-
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, n, digest, matches, prefix`` of every row that has an id."""
-    frequent = frequent_grams(docs, (size,), lower=True)[0][size]
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    frequent, n_words = frequent_grams(docs, (1, size), lower=True)
+    shared = docs.sparkSession.sparkContext.broadcast(_Order(frequent[1], frequent[size], n_words))
 
     def sign(batches):
-        counts = _Counts(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 out = [], [], [], []
                 for ranked in shingle_sets(part.column(1), size, shared.value):
-                    matches, prefix = prefix_of(ranked, percent, counts)
+                    matches, prefix = prefix_of(ranked, percent, shared.value)
                     out[0].append(len(ranked))
                     out[1].append(hashlib.blake2b(ranked.tobytes(), digest_size=16).digest())
                     out[2].append(matches)
@@ -145,31 +161,38 @@ def _joined(held, names):
     return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(1, len(names) + 1)]
 
 
+def _popularity(batches):
+    """For each member of a shared shingle how many share it."""
+    docs, sizes, n = [], [], 0
+    for (doc,) in _groups(batches, ["doc_id"]):
+        if len(doc) > 1:
+            docs.append(doc)
+            sizes.append(np.full(len(doc), len(doc)))
+            n += len(doc)
+        if n >= _PAIRS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["doc_id", "score"])
+            docs, sizes, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["doc_id", "score"])
+
+
 def _leaders(percent: int):
-    """Pairs of each member with the first member that its size lets it link with."""
+    """Pairs of each member of a shingle with the most popular member of a size that it can link with."""
 
     def pairs(batches):
         a, b, n = [], [], 0
-        for doc, size in _groups(batches, ["doc_id", "n"]):
-            if len(doc) < 2:
-                continue
-            order = np.lexsort((doc, size))
-            doc, size = doc[order], size[order]
-            # a band starts where the first member of the last one is too small to link
-            lead = np.zeros(len(doc), np.int64)
-            at = 0
-            while at < len(doc):
-                stop = int(np.searchsorted(size, size[at] * 100 // percent, "right"))
-                lead[at:stop] = at
-                at = stop
-            follow = lead != np.arange(len(doc))
-            first = np.flatnonzero(~follow)[1:]
-            # so that every member with a possible partner is in some pair, a leader follows the member before it
-            lead[first] = first - 1
-            follow[first] = size[first - 1] * 100 >= size[first] * percent
-            a.append(doc[lead[follow]])
-            b.append(doc[follow])
-            n += int(follow.sum())
+        for doc, size, score in _groups(batches, ["doc_id", "n", "score"]):
+            left = np.lexsort((doc, -score))
+            for _ in range(_LEADERS):
+                if len(left) < 2:
+                    break
+                lead, rest = left[0], left[1:]
+                low, high = np.minimum(size[rest], size[lead]), np.maximum(size[rest], size[lead])
+                fit = low * 100 >= high * percent
+                a.append(np.full(int(fit.sum()), doc[lead]))
+                b.append(doc[rest[fit]])
+                n += len(b[-1])
+                left = rest[~fit]
             if n >= _PAIRS:
                 yield _pair_batch(a, b)
                 a, b, n = [], [], 0
@@ -184,23 +207,29 @@ def _pair_batch(a, b):
 
 
 def _across(percent: int):
-    """Pairs of members of different components that their sizes let link, smaller set first."""
+    """Pairs of members of different components that their sizes let link, with the places of the shingle."""
 
     def pairs(batches):
-        for doc, size, component, need in _groups(batches, ["doc_id", "n", "component", "matches"]):
-            if len(doc) < 2 or (component == component[0]).all():
+        names = ["doc_id", "n", "component", "matches", "place", "length", "last"]
+        for group in _groups(batches, names):
+            if len(group[0]) < 2 or (group[2] == group[2][0]).all():
                 continue
-            order = np.lexsort((doc, size))
-            doc, size, component, need = doc[order], size[order], component[order], need[order]
+            order = np.lexsort((group[0], group[1]))
+            doc, size, component, need, place, length, last = (c[order] for c in group)
             stop = np.searchsorted(size, size * 100 // percent, "right")
+            last = last.view(np.uint64)
             for i in range(len(doc) - 1):
                 other = np.arange(i + 1, stop[i])
                 other = other[component[other] != component[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(other), doc[i])), pa.array(doc[other]), pa.array(np.minimum(need[i], need[other]).astype(np.int32))],
-                        ["a", "b", "need"],
-                    )
+                if not len(other):
+                    continue
+                # up to the end of the prefix that ends first, one side is known in full, the other up to here
+                short = last[i] <= last[other]
+                known = np.where(short, length[i], length[other])
+                seen = np.where(short, place[other], place[i]) + 1
+                may = allowed(size[i], size[other], percent)
+                columns = np.full(len(other), doc[i]), doc[other], np.minimum(need[i], need[other]), known, seen, may
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "need", "known", "seen", "may"])
 
     def gathered(batches):
         held, n = [], 0
@@ -243,7 +272,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def _tokens(rows: DataFrame, *columns: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = rows.select(F.explode("prefix").alias("token"), *columns)
+    tokens = rows.select("*", F.posexplode("prefix").alias("place", "token")).select("token", *columns)
     return tokens.repartition(parts, "token").sortWithinPartitions("token")
 
 
@@ -257,19 +286,25 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     reps = classes.select("digest", F.col("rep").alias("doc_id")).join(full, ["digest", "doc_id"]).dropDuplicates(["digest"])
     reps = materialize(reps.select("doc_id", "n", "matches", "prefix"), "representatives")
 
-    led = _tokens(reps, "doc_id", "n").mapInArrow(_leaders(percent), "a long, b long")
-    counted = materialize(led.groupBy("a", "b").agg(F.count("*").alias("shared")), "led-pairs")
+    popular = _tokens(reps, "doc_id").mapInArrow(_popularity, "doc_id long, score long")
+    scores = materialize(popular.groupBy("doc_id").agg(F.sum("score").alias("score")), "popularity")
+    near = materialize(reps.join(scores, "doc_id"), "near")
+    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(near.select("doc_id"), "doc_id", "left_semi"), "near-texts")
+
+    led = _tokens(near, "doc_id", "n", "score").mapInArrow(_leaders(percent), "a long, b long")
+    counted = led.groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")
     first = materialize(counted.groupBy("b").agg(best).select("a", "b"), "leaders")
-    near = materialize(counted.select(F.col("a").alias("doc_id")).union(counted.select("b")).distinct(), "near")
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(near, "doc_id", "left_semi"), "near-texts")
     linked = materialize(_verified(first, texts, size, percent), "led-links")
 
     groups = materialize(connected_components(linked), "led-groups")
-    joined = reps.join(near, "doc_id", "left_semi").join(groups, F.col("doc_id") == F.col("node"), "left")
-    joined = joined.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "prefix")
-    across = _tokens(joined, "doc_id", "n", "component", "matches").mapInArrow(_across(percent), "a long, b long, need int")
-    enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    joined = near.join(groups, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "prefix", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last")
+    )
+    tokens = _tokens(joined, "doc_id", "n", "component", "matches", "place", "length", "last")
+    across = tokens.mapInArrow(_across(percent), "a long, b long, need long, known long, seen long, may long")
+    enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("need", "known", "seen", "may")])
+    enough = enough.where("shared >= need and known + seen - 2 * shared <= may")
     more = _verified(materialize(enough.select("a", "b"), "across"), texts, size, percent)
     return signed, copies.unionByName(linked).unionByName(more)
 
