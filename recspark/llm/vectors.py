@@ -4,7 +4,8 @@ Method: iterative quantisation. On a sample, a rotation is learned that brings t
 close to the corners of a cube; the signs against each coordinate's median are balanced binary codes. Codes
 are cut into pieces, each the key of a table; two vectors are compared where they share a key in any table,
 by the cosine of the original vectors in double precision. Pieces have about log2(rows) bits, and as many
-tables are built, from further rotations, as the target recall asks for at the threshold's angle.
+tables are built, from further rotations, as reach the target recall on pairs of the sample: its near pairs,
+and vectors turned by just the threshold's angle.
 
 * Equal vectors are one class with a number of members; only one of them is indexed.
 * A pair is counted in the first table where it meets, so no pair is ever written: each bucket gives sums per
@@ -31,7 +32,8 @@ from recspark.llm.components import connected_components, forest
 from recspark.session import materialize
 
 COSINE, RECALL, SAMPLE = 0.98, 0.99, 20_000
-_BLOCK, _TURNS = 1024, 30
+#: Vectors compared at once, turns of a rotation, vectors on which recall is measured, and tables at most.
+_BLOCK, _TURNS, _TRIALS, _MOST_TABLES = 1024, 30, 1000, 32
 
 
 @dataclass
@@ -54,26 +56,61 @@ class Codes:
         return np.stack(out[: self.tables], axis=1)
 
 
+def _trials(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that a search must find: near pairs within the sample, and vectors turned to the threshold's angle."""
+    some = sample[:_TRIALS]
+    draw = np.random.default_rng(11)
+    side = draw.standard_normal(some.shape)
+    side -= (side * some).sum(axis=1, keepdims=True) * some
+    norm = np.linalg.norm(side, axis=1, keepdims=True)
+    turned = cosine * some + math.sqrt(1 - cosine * cosine) * side / np.where(norm > 0, norm, 1)
+    out = [(some, turned)]
+    a, b = np.nonzero(np.triu(some @ some.T >= cosine, 1))
+    if len(a):
+        pick = draw.permutation(len(a))[: 10 * _TRIALS]
+        out.append((some[a[pick]], some[b[pick]]))
+    return out
+
+
 def learn(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Codes:
-    """Rotations for ``rows`` vectors, from unit vectors of a sample."""
+    """Rotations for ``rows`` vectors, from unit vectors of a sample, as many as reach the recall on it.
+
+    Keys get shorter where the most tables don't reach it.
+    """
     d = sample.shape[1]
-    bits = max(1, min(d, 24, math.ceil(math.log2(max(rows, 256)))))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same))) if same < 1 else 1
     mean = sample.mean(axis=0)
     centred = sample - mean
     _, _, axes = np.linalg.svd(centred.T @ centred)
     flat = centred @ axes.T
-    turns, middles = [], []
-    for seed in range(math.ceil(tables / (d // bits))):
-        turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
+    trials = _trials(sample, cosine)
+    codes = Codes(mean, [], [], 1, 0)
+
+    def one_more():
+        turn, _ = np.linalg.qr(np.random.default_rng(len(codes.turns)).standard_normal((d, d)))
         for _ in range(_TURNS):
             u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         turn = axes.T @ turn
-        turns.append(turn)
-        middles.append(np.median(centred @ turn, axis=0))
-    return Codes(mean, turns, middles, bits, tables)
+        codes.turns.append(turn)
+        codes.middles.append(np.median(centred @ turn, axis=0))
+
+    bits = max(1, min(d, 24, math.ceil(math.log2(max(rows, 256)))))
+    while True:
+        codes.bits = bits
+        most = _MOST_TABLES - _MOST_TABLES % (d // bits) or d // bits
+        codes.tables = 0
+        while codes.tables < most:
+            codes.tables += d // bits
+            while len(codes.turns) * (d // bits) < codes.tables:
+                one_more()
+            used = Codes(mean, codes.turns[: codes.tables // (d // bits)], codes.middles, bits, codes.tables)
+            used.middles = codes.middles[: len(used.turns)]
+            found = [(used.keys(x) == used.keys(y)).any(axis=1).mean() for x, y in trials]
+            if min(found) >= recall:
+                return used
+        if bits <= 2:
+            return used
+        bits -= 2
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
