@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.session import materialize
+
 
 def user_count(interactions: DataFrame, user: str = "user_id") -> DataFrame:
     """One row ``n_users``: all users, also those without train rows."""
@@ -28,10 +30,10 @@ def feature_weights(ff: DataFrame, n_users: DataFrame) -> DataFrame:
 def weight_features(ff: DataFrame, fw: DataFrame) -> DataFrame:
     """``(user_id, feature, ff, fw, weight)`` with ``weight = fw * ff``.
 
-    The weights table has one row per feature. Its size decides at run time whether it is
-    broadcast; beyond the threshold the join shuffles and splits hot features.
+    The weights table has one row per feature and is written first. Its size decides whether
+    it is broadcast; beyond the threshold both sides are shuffled, and hot features split.
     """
-    return ff.join(fw.select("feature", "fw"), "feature").select(
+    return ff.join(materialize(fw.select("feature", "fw"), "feature-weights"), "feature").select(
         "user_id", "feature", "ff", "fw", (F.col("fw") * F.col("ff")).alias("weight")
     )
 

@@ -21,7 +21,10 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def normalize(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if pd.api.types.is_integer_dtype(df[c]):
+        if pd.api.types.is_numeric_dtype(df[c]) and df[c].isna().any():
+            df[c] = [None if pd.isna(v) else str(float(v)) for v in df[c]]
+            df[c] = df[c].astype(object)
+        elif pd.api.types.is_integer_dtype(df[c]):
             df[c] = df[c].astype("int64")
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda v: None if v is None or v is pd.NA or v != v else str(v))

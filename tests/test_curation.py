@@ -151,7 +151,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.write_recommendations(sinks.tag_run(recs, run), str(tmp_path / "r"), files=1)
     back = spark.read.parquet(str(tmp_path / "r"))
-    assert back.count() == 4 and back.select("run_id").distinct().count() == 1
+    assert back.count() == 2 and back.select("run_id").distinct().count() == 1
     sinks.write_recommendations(recs, str(tmp_path / "c"), files=1, fmt="csv")
     assert spark.read.csv(str(tmp_path / "c")).count() == 2
 

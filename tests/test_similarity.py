@@ -124,3 +124,17 @@ def test_stop_factor():
 
     assert stop_factor(0) == 0.5
     assert math.isclose(stop_factor(1), 0.622459, rel_tol=1e-5)
+
+
+def test_bound_of_rare_pairs_peaks_between_weights(spark):
+    """Users 400 and 1400 share a rare term and a popular one whose weight scores more than the lightest."""
+    held = {1: 0.01, 2: 0.41421356, 4: 1.0563}
+    other = {3: 0.01, 6: 0.41421356, 5: 1.0563}
+    users = {u: dict(held) for u in [*range(1, 301), 400]} | {u: dict(other) for u in [*range(1001, 1301), 1400]}
+    users[1400][2] = 0.41421356
+    users[400][9] = users[1400][9] = 1.0
+    users |= {u: {f: 5.0 for f in range(100, 110)} for u in range(5001, 5401)}
+    rows = [(u, str(f), 1, w) for u, terms in users.items() for f, w in terms.items()]
+    prof = spark.createDataFrame(rows, "user_id bigint, feature string, ff bigint, weight double")
+    best = similarity.nearest_users(prof, 20).where("user_id = 400").orderBy("rank").first()
+    assert (best["neighbor_id"], round(best["sim"], 5)) == (1400, 2.41421)
