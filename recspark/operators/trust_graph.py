@@ -71,6 +71,8 @@ def item_cooccurrence(
     if method == "support":
         return pairs.withColumn("sim", F.col("users") / n_users.scalar())
     if method == "jaccard":
+        # written first, so that the rows of a popular item can be split over tasks in the joins
+        pairs = materialize(pairs, "item-pairs")
         a = test.groupBy(F.col("item_id").alias("target_item")).agg(F.count(F.lit(1)).alias("n_test"))
         b = train.groupBy(F.col("item_id").alias("item")).agg(F.count(F.lit(1)).alias("n_train"))
         union = F.col("n_test") + F.col("n_train") - F.col("users")

@@ -91,27 +91,28 @@ def append_absent(t: Tables) -> DataFrame:
     return merge.append_absent(base, rows, ["owner", "member"])
 
 
-_FOLD = ALL + """, base_books AS (SELECT gid, title, CASE WHEN gid % 6 <> 0 THEN gid % 97 END AS author_gid FROM books WHERE gid % 2 = 0),
-base_reviews AS (SELECT * FROM reviews WHERE review_gid % 5 = 0),
-scraped AS (SELECT r.*, title, book_gid % 97 AS author_gid FROM reviews r JOIN books b ON b.gid = book_gid WHERE review_gid % 3 = 0)
+_FOLD = ALL + """, base_books AS (SELECT gid, title, CASE WHEN gid % 6 <> 0 THEN gid % 97 END AS author_gid FROM books WHERE shelves_retrieved),
+base_reviews AS (SELECT * FROM reviews WHERE rating >= 4),
+scraped AS (SELECT r.*, title, book_gid % 97 AS author_gid FROM reviews r JOIN books b ON b.gid = book_gid)
 """
 
 
 def _fold(t: Tables) -> dict[str, DataFrame]:
-    books = t.books().where("gid % 2 = 0").select(
+    """All reviews come in; those rated 4 or more, and the books with shelves, are there already."""
+    books = t.books().where("shelves_retrieved").select(
         "gid", "title", F.when(F.col("gid") % 6 != 0, F.col("gid") % 97).alias("author_gid")
     )
     authors = t.books().where("gid < 40").select("gid", F.concat(F.lit("Author "), F.col("gid").cast("string")).alias("name"))
     reviews = t.reviews().select(F.col("review_gid").alias("gid"), "user_gid", "book_gid", "rating", F.lit("old").alias("text"))
     titles = t.books().select(F.col("gid").alias("book_gid"), "title")
     scraped = (
-        t.reviews().where("review_gid % 3 = 0").join(titles, "book_gid").select(
+        t.reviews().join(titles, "book_gid").select(
             "user_gid", "review_gid", "rating", F.lit("new").alias("text"), "book_gid", "title",
             (F.col("book_gid") % 97).alias("author_gid"),
             F.concat(F.lit("Author "), (F.col("book_gid") % 97).cast("string")).alias("author_name"),
         )
     )
-    return merge.fold_reviews(books, authors, reviews.where("gid % 5 = 0"), t.users(), scraped)
+    return merge.fold_reviews(books, authors, reviews.where("rating >= 4"), t.users(), scraped)
 
 
 @query(
@@ -414,9 +415,8 @@ def hash_collisions(t: Tables) -> DataFrame:
     return shelves.hash_collisions(t("customer"), "c_name", X.poly_hash("name") % 1000)
 
 
-@query()
+@query("SELECT c_name, ('0x' || substr(md5(c_name), 1, 15))::BIGINT % 100000000 AS bucket FROM customer")
 def bucket_ids(t: Tables) -> DataFrame:
-    """Bucket of each name; this hash has no twin in the other engine."""
     return t("customer").select("c_name", X.bucket_id("c_name").alias("bucket"))
 
 
@@ -604,8 +604,8 @@ def friend_documents(t: Tables) -> DataFrame:
 
 
 def _review_page(t: Tables) -> DataFrame:
-    """One page per review, with the three ways of giving a rating."""
-    cell = lambda css, value: F.concat(F.lit(f'<td class="{css}"><label>x</label><div class="value">'), value, F.lit("</div></td>"))
+    """One page per review, with labelled cells and the three ways of giving a rating."""
+    cell = lambda name, value: F.concat(F.lit(f'<td class="field {name}"><label>{name} 7</label><div class="value">'), value, F.lit("</div></td>"))
     s = lambda c: F.col(c).cast("string")
     lit = lambda n: F.repeat(F.lit('<span class="staticStar p10"></span>'), n.cast("int"))
     how = F.col("review_gid") % 3
@@ -624,14 +624,10 @@ def _review_page(t: Tables) -> DataFrame:
         F.col("review_gid").alias("page_id"),
         F.concat(
             F.lit("<html><body><table><tr id='no_1'><td>menu</td></tr></table><table id=\"books\"><tbody><tr id=\"review_"), s("review_gid"), F.lit('">'),
-            # plain cells carry their text in a link
-            F.concat(F.lit('<td class="field title"></td><td class="title"><div class="value"><a href="/book/show/'), s("book_gid"), F.lit('-t">  Title '), s("book_gid"), F.lit("</a></div></td>")),
-            F.concat(F.lit('<td class="field author"><div class="value"><a href="/author/show/'), (F.col("book_gid") % 97).cast("string"), F.lit('">'), name, F.lit("</a></div></td>")),
-            F.lit('<td class="field isbn"><div class="value">  0123</div></td><td class="field isbn13"><div class="value">978</div></td>'),
-            F.lit('<td class="field avg_rating"><div class="value">3.75</div></td><td class="field num_ratings"><div class="value">1,234</div></td>'),
-            F.concat(F.lit('<td class="field date_added"><div class="value">'), day, F.lit("</div></td>")),
-            F.concat(F.lit('<td class="field rating"><div class="value">'), rating, F.lit("</div></td>")),
-            F.concat(F.lit('<td class="review">'), text, F.lit("</td>")),
+            cell("title", F.concat(F.lit('<a href="/book/show/'), s("book_gid"), F.lit('-t">  Title '), s("book_gid"), F.lit("</a>"))),
+            cell("author", F.concat(F.lit('<a href="/author/show/'), (F.col("book_gid") % 97).cast("string"), F.lit('">'), name, F.lit("</a> <span>*</span>"))),
+            cell("isbn", F.lit("  0123")), cell("isbn13", F.lit("978")), cell("avg_rating", F.lit("3.75")), cell("num_ratings", F.lit("1,234")),
+            cell("date_added", day), cell("rating", rating), cell("review", text),
             F.lit("</tr></tbody></table></body></html>"),
         ).alias("html"),
     )
@@ -656,11 +652,21 @@ def review_pages(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<tr[^>]*id=\"review_')) AS BIGINT) AS n_reviews FROM pages")
+@query(
+    """SELECT page_id, 1 + CAST(page_id % 6 >= 3 AS BIGINT) AS n_reviews, page_id + CASE WHEN page_id % 6 >= 3 THEN page_id + 1 ELSE 0 END AS books,
+  'page ' || page_id AS text FROM pages"""
+)
 def web_page_reviews(t: Tables) -> DataFrame:
-    """Number of review rows on each of the given pages."""
-    found = html.extract_review_rows(t("pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_reviews"))
-    return t("pages").select("page_id").join(found, "page_id", "left").fillna(0, ["n_reviews"])
+    """The given pages with a table of two reviews at the end, of which the second may be rated too low."""
+    key = F.col("page_id")
+    row = lambda book, rating: F.concat(
+        F.lit('<tr id="review_'), book.cast("string"), F.lit('"><td class="field title"><label>title 7</label><div class="value"><a href="/book/show/'),
+        book.cast("string"), F.lit('">T</a></div></td><td class="field rating"><div class="value"><div class="stars" data-rating="'), rating.cast("string"),
+        F.lit('"></div></div></td><td class="field review"><label>review</label><div class="value"><span>page '), key.cast("string"), F.lit("</span></div></td></tr>"),
+    )
+    table = F.concat(F.lit('<table id="books"><tbody>'), row(key, F.lit(5)), row(key + 1, key % 6), F.lit("</tbody></table>"))
+    found = html.extract_review_rows(t("pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), table).alias("html")))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum("book_gid").alias("books"), F.max("text").alias("text"))
 
 
 @query(
@@ -708,33 +714,33 @@ words AS (SELECT doc_id, pos, unnest(string_split_regex(lower(sentence), '[^a-z]
 counted AS (SELECT doc_id, pos, word, count(*) AS n FROM words WHERE word <> '' GROUP BY ALL),
 lexicon AS (
   SELECT word, 2 * avg(quality) - 1 AS polarity, avg(toxic) AS subjectivity
-  FROM (SELECT DISTINCT doc_id, word FROM counted) JOIN labels USING (doc_id) GROUP BY word HAVING count(*) >= 5)
+  FROM (SELECT DISTINCT doc_id, word FROM counted) JOIN labels USING (doc_id) GROUP BY word)
 """
 
 
 @query(
-    _LEXICON + """SELECT doc_id, pos, CAST(sum(n) AS BIGINT) AS words,
+    _LEXICON + """SELECT doc_id, pos, any_value(sentence) AS sentence, CAST(coalesce(sum(n), 0) AS BIGINT) AS words,
   round(coalesce(sum(n * polarity) / sum(n) FILTER (WHERE polarity IS NOT NULL), 0), 5) AS polarity,
   round(coalesce(sum(n * subjectivity) / sum(n) FILTER (WHERE polarity IS NOT NULL), 0), 5) AS subjectivity
-FROM counted LEFT JOIN lexicon USING (word) GROUP BY doc_id, pos"""
+FROM sentences LEFT JOIN counted USING (doc_id, pos) LEFT JOIN lexicon USING (word) GROUP BY doc_id, pos"""
 )
 def sentence_sentiment(t: Tables) -> DataFrame:
     """Sentences of all documents, scored with a lexicon learned from the labels."""
-    docs = t("documents").select("doc_id", "text")
-    rows = sentiment.sentence_sentiment(docs, _lexicon(t), "doc_id", "text")
-    return rows.select("doc_id", "pos", "words", F.round("polarity", 5).alias("polarity"), F.round("subjectivity", 5).alias("subjectivity"))
+    return _scored(t).select(
+        "doc_id", "pos", "sentence", "words", F.round("polarity", 5).alias("polarity"), F.round("subjectivity", 5).alias("subjectivity")
+    )
 
 
-def _lexicon(t: Tables) -> DataFrame:
-    words = sentiment.sentence_words(sentiment.split_sentences(t("documents"), "doc_id", "text"), "doc_id")
-    return (
-        words.select("doc_id", "word").distinct().join(t("labels"), "doc_id").groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), (2 * F.avg("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"))
-        .where("n >= 5")
-    )
+def _scored(t: Tables) -> DataFrame:
+    sentences = materialize(sentiment.split_sentences(t("documents"), "doc_id", "text"), "sentences")
+    return sentiment.score_sentences(sentences, sentiment.lexicon_from_labels(sentences, t("labels")))
 
 
-@query(_LEXICON + "SELECT d.doc_id, text IS NOT NULL AS instantiated, count(s.pos) AS n_sentences FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, pos FROM counted) s USING (doc_id) GROUP BY ALL")
+@query(
+    _LEXICON + """SELECT d.doc_id, text IS NOT NULL AS instantiated, count(s.pos) AS n_sentences, coalesce(string_agg(sentence, '|' ORDER BY pos), '') AS sentences
+FROM documents d LEFT JOIN sentences s USING (doc_id) GROUP BY ALL"""
+)
 def review_textblobs(t: Tables) -> DataFrame:
-    docs = t("documents").select("doc_id", "text")
-    return sentiment.review_textblob(docs, sentiment.sentence_sentiment(docs, _lexicon(t)))
+    rows = sentiment.review_textblob(t("documents").select("doc_id", "text"), _scored(t))
+    n = F.coalesce(F.size("sentences"), F.lit(0)).cast("bigint")
+    return rows.select("doc_id", "instantiated", F.greatest(n, F.lit(0)).alias("n_sentences"), F.coalesce(F.array_join("sentences.text", "|"), F.lit("")).alias("sentences"))

@@ -288,7 +288,7 @@ def fwum_recommend_unseen(t: Tables) -> DataFrame:
 def results_written_and_read(t: Tables) -> DataFrame:
     """Recommendations and metrics through their sinks, with run columns."""
     r = fwum.run_fwum(t.interactions(), SMALL)
-    run = sinks.run_id(SMALL.n_similar, SMALL.n_items)
+    run = sinks.run_id(SMALL.n_similar, SMALL.n_items, r.recommendations.select("user_id").distinct().count())
     recs_path, metrics_path = new_path(t.spark, "recs"), new_path(t.spark, "metrics")
     sinks.write_recommendations(sinks.tag_run(r.recommendations, run), recs_path)
     sinks.write_metrics(sinks.tag_run(r.metrics, run, n_similar=SMALL.n_similar), metrics_path)
@@ -471,7 +471,7 @@ def rating_error(t: Tables) -> DataFrame:
 
 @query(
     GRAPH + """SELECT count(*) FILTER (WHERE r.user_id IS NULL) AS left_only, count(*) FILTER (WHERE l.user_id IS NULL) AS right_only,
-       0::BIGINT AS repeated
+       (SELECT count(*) FROM (SELECT user_id, item_id FROM kept GROUP BY ALL HAVING count(*) > 1)) AS repeated
 FROM kept l FULL JOIN targets r ON l.user_id = r.user_id AND l.item_id = r.item_id"""
 )
 def paired_ratings(t: Tables) -> DataFrame:
@@ -485,12 +485,12 @@ def paired_ratings(t: Tables) -> DataFrame:
 links AS (SELECT DISTINCT src, dst FROM trust_edges WHERE src % 7 <> 0),
 hops AS (
   SELECT c_custkey AS user_id, 0 AS level FROM customer WHERE c_custkey % 500 = 1
-  UNION SELECT dst, level + 1 FROM hops JOIN links ON src = user_id WHERE level < 2)
+  UNION SELECT dst, level + 1 FROM hops JOIN links ON src = user_id WHERE level < 4)
 SELECT user_id, CAST(min(level) AS BIGINT) AS level FROM hops GROUP BY user_id"""
 )
 def khop_expansion(t: Tables) -> DataFrame:
-    """Users within two steps of the seeds; every seventh user is private."""
+    """Users within four steps of the seeds; every seventh user is private."""
     people = t("customer").select(F.col("c_custkey").alias("user_id"))
     return trust_graph.khop_expand(
-        t.trust_edges(), people.where("user_id % 500 = 1"), 2, people.where("user_id % 7 = 0")
+        t.trust_edges(), people.where("user_id % 500 = 1"), 4, people.where("user_id % 7 = 0")
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recspark.operators.evaluate import rating_error
+from recspark.operators.evaluate import assert_paired, rating_error
 from recspark.operators.trust_graph import build_trust_graph, item_cooccurrence
 from recspark.operators.trust_walk import predict_ratings, trust_walk
 from recspark.session import materialize
@@ -40,6 +40,8 @@ class TrustResult:
 
     @property
     def errors(self) -> DataFrame:
+        """Raises where predictions and held-out ratings don't pair up one to one."""
+        assert_paired(self.predictions, self.graph.targets, ["user_id", "item_id"])
         return rating_error(self.predictions, self.graph.targets)
 
 
@@ -58,4 +60,4 @@ def run_trust_walk(edges: DataFrame, reviews: DataFrame, params: TrustParams = T
     log = trust_walk(
         g.edges, g.targets, g.reviews, g.item_sim, params.k_steps, params.runs, params.seed, params.credit
     )
-    return TrustResult(g, log, predict_ratings(g.targets, log, params.runs))
+    return TrustResult(g, log, materialize(predict_ratings(g.targets, log, params.runs), "predictions"))

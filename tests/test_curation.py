@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recspark import schemas
 from recspark.functions import text as X
-from recspark.operators import caps, enrich, flags, shelves
+from recspark.operators import caps, enrich, flags, sentiment, shelves
 from recspark.sources import html, merge, sinks, tables, xml
 from recspark.streaming import incremental
 
@@ -207,6 +207,30 @@ def test_html_reviews(spark, rating, review, want):
         assert r.title == "A T" and r.date_added == dt.datetime(2011, 3, 16)
 
 
+def test_html_labelled_cells(spark):
+    cell = lambda name, value: f'<td class="field {name}"><label>{name} 99</label><div class="value">{value}</div></td>'
+    page = '<table id="books"><tbody><tr id="review_9">' + "".join([
+        cell("title", '<a href="/book/show/3.T">A <b>T</b></a> <div>x</div>'), '<td class="title"><div class="value">second</div></td>',
+        cell("author", '<a href="/a/8">Last, First</a><span>*</span><a href="/a/9">Other</a>'), cell("isbn", "0123"), cell("isbn13", "978"),
+        cell("avg_rating", "3.5"), cell("num_ratings", "1,000"), cell("date_added", "<span>Mar 16, 2011</span>"),
+        cell("rating", STARS * 4), cell("review", "<span>short</span><span>the whole</span>"),
+    ]) + "</tr></tbody></table>"
+    r = html.extract_review_rows(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()
+    assert (r.review_gid, r.book_gid, r.title, r.author_gid, r.author_name) == (9, 3, "A T x", 8, "First Last")
+    assert (r.isbn, r.isbn13, r.average_rating, r.ratings_count, r.rating, r.text) == ("0123", "978", 3.5, 1000, 4, "the whole")
+    assert r.date_added == dt.datetime(2011, 3, 16)
+
+
+def test_sentences_are_all_kept(spark):
+    docs = spark.createDataFrame([(1, "Good day. 42! Good, bad? Odd"), (2, ""), (3, None)], "doc_id bigint, text string")
+    lexicon = spark.createDataFrame([("good", 1.0, 0.5), ("bad", -0.5, 1.0)], "word string, polarity double, subjectivity double")
+    scored = sentiment.sentence_sentiment(docs, lexicon)
+    rows = [tuple(r) for r in scored.orderBy("pos").collect()]
+    assert rows == [(1, 0, "Good day", 2, 1.0, 0.5), (1, 1, "42", 0, 0.0, 0.0), (1, 2, "Good, bad", 2, 0.25, 0.75), (1, 3, "Odd", 1, 0.0, 0.0)]
+    blobs = {r.doc_id: (r.instantiated, None if r.sentences is None else [tuple(s) for s in r.sentences]) for r in sentiment.review_textblob(docs, scored).collect()}
+    assert blobs == {1: (True, [r[2:3] + r[4:] for r in rows]), 2: (True, []), 3: (False, None)}
+
+
 def test_incremental_is_idempotent(spark, tmp_path):
     schema = f"review_gid bigint, user_gid bigint, book_gid bigint, list_shelves array<{SHELF}>"
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
