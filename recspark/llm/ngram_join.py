@@ -41,6 +41,8 @@ _MAX_MATCHES, _VERIFY_COST = 4, 8
 _PAIRS = 1 << 16
 #: Leaders that a shingle's members are tried with, by size.
 _LEADERS = 4
+#: Partners that are verified beside one copy of a text, and rows up to which a table of ids is broadcast.
+_BLOCK, _BROADCAST_ROWS = 256, 1 << 18
 
 
 class _Order:
@@ -133,7 +135,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _groups(batches, names: list[str]):
-    """The rows of one shingle at a time, as arrays; the input is sorted by shingle."""
+    """The shingle and the columns of its rows, one shingle at a time, as arrays; the input is sorted by shingle."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -148,7 +150,7 @@ def _groups(batches, names: list[str]):
             continue
         held.append(batch.slice(0, int(cuts[0])))
         yield _joined(held, names)
-        columns = [batch.column(i).to_numpy() for i in range(1, len(names) + 1)]
+        columns = [batch.column(i).to_numpy() for i in range(len(names) + 1)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
                 yield [c[a:b] for c in columns]
@@ -158,22 +160,22 @@ def _groups(batches, names: list[str]):
 
 
 def _joined(held, names):
-    return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(1, len(names) + 1)]
+    return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(len(names) + 1)]
 
 
-def _popularity(batches):
-    """For each member of a shared shingle how many share it."""
-    docs, sizes, n = [], [], 0
-    for (doc,) in _groups(batches, ["doc_id"]):
+def _shared(batches):
+    """The entries of shingles that several sets have in their prefixes, with how many have them."""
+    names = ["token", "doc_id", "place", "holders"]
+    held, n = [], 0
+    for token, doc, place in _groups(batches, ["doc_id", "place"]):
         if len(doc) > 1:
-            docs.append(doc)
-            sizes.append(np.full(len(doc), len(doc)))
+            held.append((token, doc, place, np.full(len(doc), len(doc))))
             n += len(doc)
         if n >= _PAIRS:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["doc_id", "score"])
-            docs, sizes, n = [], [], 0
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
 def _leaders(percent: int):
@@ -181,7 +183,7 @@ def _leaders(percent: int):
 
     def pairs(batches):
         a, b, n = [], [], 0
-        for doc, size, score in _groups(batches, ["doc_id", "n", "score"]):
+        for _, doc, size, score in _groups(batches, ["doc_id", "n", "score"]):
             left = np.lexsort((doc, -score))
             for _ in range(_LEADERS):
                 if len(left) < 2:
@@ -212,6 +214,7 @@ def _across(percent: int):
     def pairs(batches):
         names = ["doc_id", "n", "component", "matches", "place", "length", "last"]
         for group in _groups(batches, names):
+            group = group[1:]
             if len(group[0]) < 2 or (group[2] == group[2][0]).all():
                 continue
             order = np.lexsort((group[0], group[1]))
@@ -245,35 +248,53 @@ def _across(percent: int):
     return gathered
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough.
+
+    The partners ``b`` of an ``a`` are dealt into blocks, each with its own copy of the text of ``a``. So every
+    text that a pair needs is fetched once, sent to its block once, and a popular ``a`` is no single task.
+    """
 
     def check(batches):
-        last, held = None, None
+        block, held = None, []
         for batch in batches:
-            for part in slices(batch, "text_b"):
-                a = part.column(0).to_pylist()
-                sets_b = list(shingle_sets(part.column(3), size, None))
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column(4), size, None)
                 keep = []
-                texts_a = part.column(2)
-                for i, one in enumerate(a):
-                    if one != last:
-                        last, held = one, next(shingle_sets(texts_a.slice(i, 1), size, None))
-                    other = sets_b[i]
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    if 100 * both >= percent * (len(held) + len(other) - both):
+                for i, (one, partner) in enumerate(zip(zip(*(part.column(c).to_pylist() for c in (0, 1)), strict=True), part.column(2).to_pylist(), strict=True)):
+                    other = next(sets)
+                    if one != block:
+                        block, held = one, []
+                    if not partner:
+                        if not any(np.array_equal(other, h) for h in held):
+                            held.append(other)
+                    elif any(_similar(h, other, percent) for h in held):
                         keep.append(i)
-                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                kept = part.select(["a", "doc_id"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
+
+    partners = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / _BLOCK).alias("blocks"))
+    dealt = pairs.join(partners, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(True).alias("partner"), F.col("b").alias("doc_id"))
+    own = partners.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("partner"), F.col("a").alias("doc_id"))
+    asked = materialize(dealt.unionByName(own), "asked")
+    few = asked.count() <= _BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(asked) if few else asked, "doc_id").select("a", "block", "partner", "doc_id", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(check, "a long, b long")
+
 
-    other = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = other.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _tokens(rows: DataFrame, *columns: str) -> DataFrame:
+def _by_token(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = rows.select("*", F.posexplode("prefix").alias("place", "token")).select("token", *columns)
-    return tokens.repartition(parts, "token").sortWithinPartitions("token")
+    return rows.repartition(parts, "token").sortWithinPartitions("token")
 
 
 def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -283,29 +304,31 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     copies = full.join(classes.where("members > 1").drop("members"), "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # an id that is repeated may stand for several sets, so a class is known by id and set
-    reps = classes.select("digest", F.col("rep").alias("doc_id")).join(full, ["digest", "doc_id"]).dropDuplicates(["digest"])
-    reps = materialize(reps.select("doc_id", "n", "matches", "prefix"), "representatives")
+    reps = classes.select("digest", F.col("rep").alias("doc_id")).join(full, ["digest", "doc_id"])
+    reps = materialize(reps.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("set"), "doc_id", "n", "matches", "prefix"), "representatives")
 
-    popular = _tokens(reps, "doc_id").mapInArrow(_popularity, "doc_id long, score long")
-    scores = materialize(popular.groupBy("doc_id").agg(F.sum("score").alias("score")), "popularity")
-    near = materialize(reps.join(scores, "doc_id"), "near")
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(near.select("doc_id"), "doc_id", "left_semi"), "near-texts")
+    entries = reps.select("set", F.posexplode("prefix").alias("place", "token")).select("token", "set", F.col("place").cast("long"))
+    shared = materialize(_by_token(entries).mapInArrow(_shared, "token long, set long, place long, holders long"), "shared")
+    scores = shared.groupBy("set").agg(F.sum("holders").alias("score"))
+    sets = reps.select("set", "doc_id", "n", "matches", F.size("prefix").cast("long").alias("length"), F.element_at("prefix", -1).alias("last"))
+    near = materialize(sets.join(scores, "set"), "near")
 
-    led = _tokens(near, "doc_id", "n", "score").mapInArrow(_leaders(percent), "a long, b long")
+    led = shared.join(near, "set").select("token", "doc_id", "n", "score")
+    led = _by_token(led).mapInArrow(_leaders(percent), "a long, b long").where("a <> b")
     counted = led.groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")
     first = materialize(counted.groupBy("b").agg(best).select("a", "b"), "leaders")
-    linked = materialize(_verified(first, texts, size, percent), "led-links")
+    linked = materialize(_verified(first, docs, size, percent), "led-links")
 
     groups = materialize(connected_components(linked), "led-groups")
     joined = near.join(groups, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "prefix", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last")
+        "set", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "length", "last"
     )
-    tokens = _tokens(joined, "doc_id", "n", "component", "matches", "place", "length", "last")
-    across = tokens.mapInArrow(_across(percent), "a long, b long, need long, known long, seen long, may long")
+    tokens = shared.join(joined, "set").select("token", "doc_id", "n", "component", "matches", "place", "length", "last")
+    across = _by_token(tokens).mapInArrow(_across(percent), "a long, b long, need long, known long, seen long, may long")
     enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("need", "known", "seen", "may")])
     enough = enough.where("shared >= need and known + seen - 2 * shared <= may")
-    more = _verified(materialize(enough.select("a", "b"), "across"), texts, size, percent)
+    more = _verified(materialize(enough.select("a", "b"), "across"), docs, size, percent)
     return signed, copies.unionByName(linked).unionByName(more)
 
 
