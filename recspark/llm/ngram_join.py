@@ -13,7 +13,9 @@ smaller ``l`` of the two asks for.
   Leaders are the sets whose shingles most others share: an original rather than one of its copies. Then only
   pairs of different components are counted, so a group of near copies costs about one pair per member and
   shingle, not its square.
-* A pair is also dropped if its prefixes alone show more unshared shingles than a similar pair can have.
+* A pair is also dropped if its prefixes alone show more unshared shingles than a similar pair can have, or if
+  its odd sketches do. An odd sketch has a bit for each of 256 parts of the shingles: whether the set has an odd
+  number of that part. Where two sketches differ, a shingle is not shared, so this drops no similar pair.
 * Sets are compared as 64-bit shingle hashes.
 
 Null texts and texts without words have the empty set, which links with nothing. Rows that repeat an id
@@ -43,6 +45,7 @@ _PAIRS = 1 << 16
 _LEADERS = 4
 #: Partners that are verified beside one copy of a text, and rows up to which a table of ids is broadcast.
 _BLOCK, _BROADCAST_ROWS = 256, 1 << 18
+_SKETCH = ["odd0", "odd1", "odd2", "odd3"]
 
 
 class _Order:
@@ -96,6 +99,17 @@ def allowed(small, large, percent: int):
     return small + large - 2 * both
 
 
+def odd_sketch(ranked: np.ndarray) -> np.ndarray:
+    """For each of 256 parts, as bits of four numbers, whether the set has an odd number of its shingles."""
+    counts = np.bincount((ranked & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits(counts & 1).view(np.int64)
+
+
+def _unshared(sketch: np.ndarray, at, other) -> np.ndarray:
+    """The least number of shingles that a set does not share with each of others."""
+    return np.bitwise_count((sketch[at] ^ sketch[other]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def prefix_of(ranked: np.ndarray, percent: int, order: _Order) -> tuple[int, np.ndarray]:
     """The matches asked for, and the prefix that goes with them."""
     n = len(ranked)
@@ -110,28 +124,31 @@ def prefix_of(ranked: np.ndarray, percent: int, order: _Order) -> tuple[int, np.
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, n, digest, matches, prefix`` of every row that has an id."""
+    """``doc_id, n, digest, matches, prefix`` and the odd sketch of every row that has an id."""
     frequent, n_words = frequent_grams(docs, (1, size), lower=True)
     shared = docs.sparkSession.sparkContext.broadcast(_Order(frequent[1], frequent[size], n_words))
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [], [], [], []
+                out = [], [], [], [], []
                 for ranked in shingle_sets(part.column(1), size, shared.value):
                     matches, prefix = prefix_of(ranked, percent, shared.value)
                     out[0].append(len(ranked))
                     out[1].append(hashlib.blake2b(ranked.tobytes(), digest_size=16).digest())
                     out[2].append(matches)
                     out[3].append(prefix.view(np.int64))
+                    out[4].append(odd_sketch(ranked))
                 offsets = np.cumsum([0, *map(len, out[3])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int64), *out[3]])
                 columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())]
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, prefix], ["doc_id", "n", "digest", "matches", "prefix"])
+                odd = [pa.array(c) for c in np.array(out[4], np.int64).reshape(-1, len(_SKETCH)).T.copy()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, prefix, *odd], ["doc_id", "n", "digest", "matches", "prefix", *_SKETCH])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return materialize(rows.mapInArrow(sign, "doc_id long, n long, digest binary, matches int, prefix array<long>"), "signatures")
+    kinds = "doc_id long, n long, digest binary, matches int, prefix array<long>" + "".join(f", {c} long" for c in _SKETCH)
+    return materialize(rows.mapInArrow(sign, kinds), "signatures")
 
 
 def _groups(batches, names: list[str]):
@@ -179,18 +196,19 @@ def _shared(batches):
 
 
 def _leaders(percent: int):
-    """Pairs of each member of a shingle with the most popular member of a size that it can link with."""
+    """Pairs of each member of a shingle with the most popular member that it may link with, by size and sketch."""
 
     def pairs(batches):
         a, b, n = [], [], 0
-        for _, doc, size, score in _groups(batches, ["doc_id", "n", "score"]):
+        for _, doc, size, score, *odd in _groups(batches, ["doc_id", "n", "score", *_SKETCH]):
+            sketch = np.stack(odd, axis=1)
             left = np.lexsort((doc, -score))
             for _ in range(_LEADERS):
                 if len(left) < 2:
                     break
                 lead, rest = left[0], left[1:]
                 low, high = np.minimum(size[rest], size[lead]), np.maximum(size[rest], size[lead])
-                fit = low * 100 >= high * percent
+                fit = (low * 100 >= high * percent) & (_unshared(sketch, lead, rest) <= allowed(low, high, percent))
                 a.append(np.full(int(fit.sum()), doc[lead]))
                 b.append(doc[rest[fit]])
                 n += len(b[-1])
@@ -209,28 +227,31 @@ def _pair_batch(a, b):
 
 
 def _across(percent: int):
-    """Pairs of members of different components that their sizes let link, with the places of the shingle."""
+    """Pairs of members of different components that their sizes and sketches let link, with the places of the shingle."""
 
     def pairs(batches):
-        names = ["doc_id", "n", "component", "matches", "place", "length", "last"]
+        names = ["doc_id", "n", "component", "matches", "place", "length", "last", *_SKETCH]
         for group in _groups(batches, names):
             group = group[1:]
             if len(group[0]) < 2 or (group[2] == group[2][0]).all():
                 continue
             order = np.lexsort((group[0], group[1]))
-            doc, size, component, need, place, length, last = (c[order] for c in group)
+            doc, size, component, need, place, length, last, *odd = (c[order] for c in group)
+            sketch = np.stack(odd, axis=1)
             stop = np.searchsorted(size, size * 100 // percent, "right")
             last = last.view(np.uint64)
             for i in range(len(doc) - 1):
                 other = np.arange(i + 1, stop[i])
                 other = other[component[other] != component[i]]
+                may = allowed(size[i], size[other], percent)
+                close = _unshared(sketch, i, other) <= may
+                other, may = other[close], may[close]
                 if not len(other):
                     continue
                 # up to the end of the prefix that ends first, one side is known in full, the other up to here
                 short = last[i] <= last[other]
                 known = np.where(short, length[i], length[other])
                 seen = np.where(short, place[other], place[i]) + 1
-                may = allowed(size[i], size[other], percent)
                 columns = np.full(len(other), doc[i]), doc[other], np.minimum(need[i], need[other]), known, seen, may
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "need", "known", "seen", "may"])
 
@@ -305,15 +326,15 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     copies = full.join(classes.where("members > 1").drop("members"), "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # an id that is repeated may stand for several sets, so a class is known by id and set
     reps = classes.select("digest", F.col("rep").alias("doc_id")).join(full, ["digest", "doc_id"])
-    reps = materialize(reps.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("set"), "doc_id", "n", "matches", "prefix"), "representatives")
+    reps = materialize(reps.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("set"), "doc_id", "n", "matches", "prefix", *_SKETCH), "representatives")
 
     entries = reps.select("set", F.posexplode("prefix").alias("place", "token")).select("token", "set", F.col("place").cast("long"))
     shared = materialize(_by_token(entries).mapInArrow(_shared, "token long, set long, place long, holders long"), "shared")
     scores = shared.groupBy("set").agg(F.sum("holders").alias("score"))
-    sets = reps.select("set", "doc_id", "n", "matches", F.size("prefix").cast("long").alias("length"), F.element_at("prefix", -1).alias("last"))
+    sets = reps.select("set", "doc_id", "n", "matches", F.size("prefix").cast("long").alias("length"), F.element_at("prefix", -1).alias("last"), *_SKETCH)
     near = materialize(sets.join(scores, "set"), "near")
 
-    led = shared.join(near, "set").select("token", "doc_id", "n", "score")
+    led = shared.join(near, "set").select("token", "doc_id", "n", "score", *_SKETCH)
     led = _by_token(led).mapInArrow(_leaders(percent), "a long, b long").where("a <> b")
     counted = led.groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")
@@ -322,9 +343,9 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     groups = materialize(connected_components(linked), "led-groups")
     joined = near.join(groups, F.col("doc_id") == F.col("node"), "left").select(
-        "set", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "length", "last"
+        "set", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "length", "last", *_SKETCH
     )
-    tokens = shared.join(joined, "set").select("token", "doc_id", "n", "component", "matches", "place", "length", "last")
+    tokens = shared.join(joined, "set").select("token", "doc_id", "n", "component", "matches", "place", "length", "last", *_SKETCH)
     across = _by_token(tokens).mapInArrow(_across(percent), "a long, b long, need long, known long, seen long, may long")
     enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("need", "known", "seen", "may")])
     enough = enough.where("shared >= need and known + seen - 2 * shared <= may")

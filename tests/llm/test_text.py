@@ -101,6 +101,17 @@ def test_near_duplicate_groups_against_brute_force(spark, seed, vocabulary):
     assert got == brute_groups(docs)
 
 
+def test_odd_sketches_never_show_more_than_is_unshared():
+    draw = np.random.default_rng(7)
+    for size in (1, 20, 150, 3000):
+        sets = [np.unique(draw.integers(0, 2 * size + 1, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(20)]
+        sketch = np.stack([ngram_join.odd_sketch(s) for s in sets])
+        for i, one in enumerate(sets):
+            shown = ngram_join._unshared(sketch, i, np.arange(len(sets)))
+            assert shown[i] == 0
+            assert all(shown[j] <= len(np.setxor1d(one, other)) for j, other in enumerate(sets))
+
+
 def test_near_duplicate_groups_of_nothing(spark):
     assert ngram_join.near_duplicate_groups(frame(spark, [])).count() == 0
     assert ngram_join.near_duplicate_groups(frame(spark, [(None, "a b c d")])).first()["component_id"] is None
