@@ -15,9 +15,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(toxicity.score_of(F.col("text"), model, spark) < 0.5)
 
 
+#: Words of a shingle and least similarity in percent of near copies; those of op6_ngram_join alone are stricter.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    groups = ngram_join.near_duplicate_groups(docs)
+    groups = ngram_join.near_duplicate_groups(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
     copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti")
 
