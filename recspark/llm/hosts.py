@@ -5,6 +5,11 @@ allows; distrust runs the same way over reversed edges from hosts whose pages a
 a blocked host is suspect. A host is judged by what reaches it from others, not by its own share as a seed:
 it is blocked where distrust makes up ``BLOCK_SHARE`` or more of the two.
 
+A verdict is a ratio, so scores of any size count. Steps go on until none adds more than ``ENOUGH`` of a host's
+own score to it, so no host is reached for the first time in the last one. All later steps then add no more
+than that share either, as each is the one before it, passed on. ``MOST_STEPS`` only guards against a run
+without end: it raises.
+
 Everything is a column expression. Links are summed up per pair of hosts before they are shuffled; scores are
 one row per host and are written at each step.
 
@@ -29,8 +34,12 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Share that a host passes on, steps at most, change at which they stop, and share of distrust that blocks.
-DAMPING, STEPS, ENOUGH, BLOCK_SHARE = 0.85, 8, 1e-4, 0.5
+#: Share that a host passes on, and share of distrust that blocks.
+DAMPING, BLOCK_SHARE = 0.85, 0.5
+#: Addition to a host's score, as a share of it, at which steps stop, and steps after which the run fails.
+ENOUGH, MOST_STEPS = 1e-6, 1000
+#: Steps of the SQL twin alone, which sees no host that is further away.
+STEPS = 8
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -60,38 +69,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagated(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, enough: float = ENOUGH, most_steps: int = MOST_STEPS) -> DataFrame:
     """``host, trust, distrust`` that reach each host from others.
 
-    ``judged`` has ``host`` and ``verdict`` of each page, ``edges`` the links of `host_edges`.
+    ``judged`` has ``host`` and ``verdict`` of each page, ``edges`` the links of `host_edges`. Each step passes on
+    what the last one added (``t, d``). Raises if ``most_steps`` are not enough.
     """
     share = [(F.count(F.when(F.col("verdict") == v, 1)) / F.count("*")).alias(s) for v, s in (("allow", "s_trust"), ("block", "s_distrust"))]
     seeds = materialize(judged.where("host <> ''").groupBy("host").agg(*share), "host-seeds")
     edges = materialize(edges, "host-edges")
     out_of = materialize(edges.groupBy("src").agg(F.sum("n").alias("all")), "host-out")
     into = materialize(edges.groupBy("dst").agg(F.sum("n").alias("all")), "host-in")
-    ahead = edges.join(out_of, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("trust"), F.lit(0.0).alias("distrust"))
-    back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("trust"), (F.col("n") / F.col("all")).alias("distrust"))
+    ahead = edges.join(out_of, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("ahead"), F.lit(0.0).alias("back"))
+    back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("ahead"), (F.col("n") / F.col("all")).alias("back"))
     ways = materialize(ahead.union(back), "host-ways")
-    now = seeds.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    none = F.lit(0.0)
+    now = seeds.select("host", none.alias("trust"), none.alias("distrust"), ((1 - damping) * F.col("s_trust")).alias("t"), ((1 - damping) * F.col("s_distrust")).alias("d"))
     if ways.isEmpty():
-        return now
-    for _ in range(steps):
-        held = seeds.join(now.withColumnsRenamed({"trust": "t", "distrust": "d"}), "host", "full_outer").select(
-            F.col("host").alias("src"),
-            ((1 - damping) * F.coalesce("s_trust", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("has_trust"),
-            ((1 - damping) * F.coalesce("s_distrust", F.lit(0.0)) + F.coalesce("d", F.lit(0.0))).alias("has_distrust"),
-        )
-        held = materialize(held, "host-held")
-        sums = [(damping * F.sum(F.col(f"has_{c}") * F.col(c))).alias(c) for c in ("trust", "distrust")]
-        after = materialize(ways.join(held, "src").groupBy(F.col("dst").alias("host")).agg(*sums), "host-scores")
-        old = now.withColumnsRenamed({"trust": "t", "distrust": "d"})
-        gap = F.abs(F.coalesce("trust", F.lit(0.0)) - F.coalesce("t", F.lit(0.0))) + F.abs(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))
-        change = after.join(old, "host", "full_outer").agg(F.max(gap).alias("gap")).first()["gap"]
-        now = after
-        if (change or 0.0) < ENOUGH:
-            break
-    return now
+        return now.select("host", "trust", "distrust")
+    sums = [(damping * F.sum(F.col(c) * F.col(way))).alias(f"new_{c}") for c, way in (("t", "ahead"), ("d", "back"))]
+    t, d = F.coalesce("new_t", none), F.coalesce("new_d", none)
+    for _ in range(most_steps):
+        moving = now.where("t > 0 or d > 0").select(F.col("host").alias("src"), "t", "d")
+        added = ways.join(moving, "src").groupBy(F.col("dst").alias("host")).agg(*sums)
+        after = now.select("host", "trust", "distrust").join(added, "host", "full_outer")
+        after = after.select("host", (F.coalesce("trust", none) + t).alias("trust"), (F.coalesce("distrust", none) + d).alias("distrust"), t.alias("t"), d.alias("d"))
+        now = materialize(after, "host-scores")
+        if now.where((F.col("t") > enough * F.col("trust")) | (F.col("d") > enough * F.col("distrust"))).isEmpty():
+            return now.select("host", "trust", "distrust")
+    raise RuntimeError(f"host scores still change after {most_steps} steps")
 
 
 def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
