@@ -11,8 +11,8 @@ Only windows that can match are walked: with at most ``k`` edits, an item of ``n
 those that line such a run up with its place in the item.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. Items are read in blocks of bounded size.
-Null or empty texts contain nothing. Items of fewer than ``MIN_WORDS`` words aren't searched for, as they
-would be ordinary phrases. Rows without ``doc_id`` or ``item_id`` give no result; rows that repeat an id are
+Null or empty texts contain nothing, and items without words are in nothing. Items of any other length are
+searched for: at the share ``PERCENT`` those under five words allow no edit and match as they are. Rows without ``doc_id`` or ``item_id`` give no result; rows that repeat an id are
 one document, or one item of which any text counts.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from recspark.llm.words import HashSet, Words, grams, mix, slices, words_of
 
-MIN_WORDS, PERCENT, RECALL = 5, 80, 0.97
+PERCENT, RECALL = 80, 0.97
 #: Sampled steps of a key, keys of a walk, walks at most, and edited copies of items for measuring recall.
 _STEPS, _KEYS, _MOST_WALKS, _TRIALS = 3, 4, 32, 400
 #: Text of one block of items.
@@ -185,9 +185,12 @@ def _edited(words: list[bytes], k: int, draw: random.Random) -> list[bytes]:
 
 
 def walks_for(items: Items, recall: float) -> int:
-    """Walks that retrieve ``recall`` of copies with as many edits as allowed, measured on the items."""
+    """Walks that retrieve ``recall`` of copies with as many edits as allowed, measured on the items that allow any."""
     draw = random.Random(7)
-    chosen = [draw.randrange(len(items.ids)) for _ in range(_TRIALS)]
+    edited = [j for j, n in enumerate(items.lengths.tolist()) if allowed(n, items.percent)]
+    if not edited:  # a copy has the keys of its item in any walk
+        return 1
+    chosen = [edited[draw.randrange(len(edited))] for _ in range(_TRIALS)]
     copies = [_edited(items.words[j], allowed(len(items.words[j]), items.percent), draw) for j in chosen]
     words = words_of(pa.array([b" ".join(c).decode() for c in copies], pa.string()))
     hashes, found = words.hashes(), np.zeros(_TRIALS, bool)
@@ -202,12 +205,12 @@ def walks_for(items: Items, recall: float) -> int:
 
 
 def prepare(rows: list[tuple[int, str | None]], percent: int = PERCENT, recall: float = RECALL) -> Items | None:
-    """A block of items ready for the search, None if all are too short."""
+    """A block of items ready for the search, None if none has words."""
     text = words_of(pa.array([t for _, t in rows], pa.string()), lower=True)
     ids, words = [], []
     for d, (item, _) in enumerate(rows):
         a, b = int(text.first[d]), int(text.first[d + 1])
-        if b - a >= MIN_WORDS:
+        if b > a:
             ids.append(item)
             words.append(_cut(text, a, b))
     if not ids:
