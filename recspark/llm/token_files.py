@@ -61,7 +61,8 @@ class _Odds:
         self.counted, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.cap = 0
         self.freq = self.before = np.zeros(0, np.int64)
-        self.one, self.two = np.full(lanes, longest), np.full(lanes, longest)
+        # contexts: 0 at a block's start, then one more than the number, so that they depend on the block alone
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def count_up(self) -> None:
         """The order-0 table takes up all ids so far."""
@@ -112,7 +113,7 @@ class _Odds:
         if len(full):
             self.cases[full] = (self.cases[full] >> 1) | 1
         self.counts[self.row1[:n] + number] += 1
-        self.two[:n], self.one[:n] = self.one[:n], number
+        self.two[:n], self.one[:n] = self.one[:n], number + 1
 
 
 #: Case tables by the sureness of the two predictions, and sureness after a miss or a hit.
