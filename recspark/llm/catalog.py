@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import archive, byte_bpe, decontaminate, hosts, main_text, ngram_join, substrings, token_files, toxicity, vectors
+from recspark.llm import archive, byte_bpe, clusters, decontaminate, hosts, main_text, ngram_join, substrings, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -177,3 +177,39 @@ FROM reach LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON x = a GR
 """)
 def op10_near_vectors(spark, folder):
     return vectors.near_vectors(_read(spark, folder, "embeddings"))
+
+
+def _kmeans_rounds() -> str:
+    """Centroids of each round, from the vectors assigned to those of the round before."""
+    out = []
+    for r in range(clusters.ROUNDS + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, min(ROW(d, c)) AS best FROM (
+    SELECT row, vec_id, c, list_sum(list_transform(range(1, {clusters.COMPONENTS + 1}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT AS d
+    FROM kept k, c{r} c) GROUP BY row),
+m{r} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT a.best[2] AS c, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS i FROM a{r} a JOIN kept k USING (row)) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM m{r} GROUP BY c) n USING (c))""")
+    return ",".join(out)
+
+
+@query(rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {clusters.COMPONENTS}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clusters.COMPONENTS}),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id), v) - 1)::INTEGER AS c, v FROM kept QUALIFY c < {clusters.CENTROIDS}),
+{_kmeans_rounds()},
+final AS (
+  SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance FROM a{clusters.ROUNDS})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM final JOIN c{clusters.ROUNDS} ON c = cluster
+""")
+def op11_centroid_clusters(spark, folder):
+    return clusters.with_inertia(*clusters.cluster_vectors(_read(spark, folder, "embeddings")))
