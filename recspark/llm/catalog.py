@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import archive, byte_bpe, clusters, decontaminate, hosts, main_text, ngram_join, substrings, token_files, toxicity, vectors
+from recspark.llm import archive, byte_bpe, clusters, decontaminate, hosts, main_text, manifest, ngram_join, substrings, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -213,3 +213,71 @@ FROM final JOIN c{clusters.ROUNDS} ON c = cluster
 """)
 def op11_centroid_clusters(spark, folder):
     return clusters.with_inertia(*clusters.cluster_vectors(_read(spark, folder, "embeddings")))
+
+
+def _tree_levels(name: str, levels: int) -> str:
+    """Nodes of all levels of the trees of ``{name}0 (g, idx, h, n)``, each with its siblings left and right."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}{k}s AS MATERIALIZED (
+  SELECT a.g, a.idx, a.n, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.idx // {manifest.FAN} = b.idx // {manifest.FAN} GROUP BY a.g, a.idx, a.n),
+{name}{k + 1} AS MATERIALIZED (
+  SELECT g, idx // {manifest.FAN} AS idx, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h,
+    CASE WHEN n = 1 THEN 1 ELSE (n + {manifest.FAN - 1}) // {manifest.FAN} END AS n
+  FROM {name}{k} GROUP BY g, idx // {manifest.FAN}, n)""")
+    return ",".join(out)
+
+
+def _folds(name: str, tree: str, levels: int) -> str:
+    """Values folded along the siblings from ``{name}0 (row, g, idx, value, proof)`` on."""
+    return ",".join(
+        f"""
+{name}{k + 1} AS MATERIALIZED (
+  SELECT row, g, f.idx // {manifest.FAN} AS idx, CASE WHEN n = 1 THEN value ELSE sha256(l || value || r) END AS value, proof || l || r AS proof
+  FROM {name}{k} f JOIN {tree}{k}s USING (g, idx))"""
+        for k in range(levels)
+    )
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR, '-')"
+
+
+# DuckDB has no crc32, so the twin steps through the bits of each byte
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {steps})"
+_DEEP = 6
+
+
+def _crc32() -> str:
+    step = "xor(a, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)[1]"
+    return f"xor({_CRC.format(steps=step)}, 4294967295::BIGINT)"
+
+
+@query(f"""
+WITH crcs AS MATERIALIZED (SELECT *, {_crc32()} AS crc FROM documents),
+hashed AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, CASE WHEN lang IS NULL THEN '' ELSE 'x' || lang END AS g,
+    sha256({" || ".join(_field(c) for c in manifest.FIELDS)}) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256({" || ".join(_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else c) for c in manifest.FIELDS)}) END AS forged
+  FROM crcs),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+t0 AS (SELECT g, idx, leaf AS h, n FROM placed),
+{_tree_levels("t", _DEEP)},
+subroots AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM t{_DEEP}),
+u0 AS (SELECT '' AS g, place AS idx, subroot AS h, n FROM subroots),
+{_tree_levels("u", 2)},
+f0 AS (SELECT row, g, idx, coalesce(forged, leaf) AS value, '' AS proof FROM placed),
+{_folds("f", "t", _DEEP)},
+e0 AS (SELECT row, '' AS g, place AS idx, value, proof FROM f{_DEEP} f JOIN subroots USING (g)),
+{_folds("e", "u", 2)}
+SELECT doc_id, leaf, subroot, u2.h AS root, sha256(proof) AS proof_sha256, value AS folded_root, value = u2.h AS verified
+FROM placed p JOIN e2 USING (row) JOIN subroots s ON s.g = p.g, u2
+""")
+def op12_merkle_manifest(spark, folder):
+    return manifest.manifest(_read(spark, folder, "documents")).drop("lang", "copies")
