@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import archive, byte_bpe, clusters, decontaminate, hosts, main_text, manifest, ngram_join, substrings, token_files, toxicity, vectors
+from recspark.llm import archive, byte_bpe, clusters, decontaminate, hosts, main_text, manifest, ngram_join, sanitize, substrings, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -281,3 +281,81 @@ FROM placed p JOIN e2 USING (row) JOIN subroots s ON s.g = p.g, u2
 """)
 def op12_merkle_manifest(spark, folder):
     return manifest.manifest(_read(spark, folder, "documents")).drop("lang", "copies")
+
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The patterns in their plain forms.
+_PLAIN = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+_WORD = r"[\p{L}\p{N}]+"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DIGITS}, i, 1)::INTEGER
+  ELSE (substr({_DIGITS}, i, 1)::INTEGER * 2) // 10 + (substr({_DIGITS}, i, 1)::INTEGER * 2) % 10 END)) % 10 = 0"""
+_VALID = (
+    "true",
+    "len(list_filter(string_split(m, '.'), lambda x: x::HUGEINT > 255)) = 0",
+    f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
+    f"length({_DIGITS}) BETWEEN 10 AND 15",
+)
+
+
+def _matches(source: str, text: str, pattern: str) -> str:
+    """``row, m, start, stop`` of all matches of a pattern in the texts of a table."""
+    return f"""SELECT row, m, (before - length(m))::BIGINT AS start, before::BIGINT AS stop FROM (
+    SELECT row, m, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY i) AS before FROM (
+      SELECT row, unnest(ms) AS m, unnest(list_slice(string_split_regex({text}, '{pattern}'), 1, len(ms))) AS gap, generate_subscripts(ms, 1) AS i
+      FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS ms FROM {source})))"""
+
+
+def _base(source: str, text: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT row, {k} AS kind, m, start, stop FROM ({_matches(source, text, p)}) WHERE {v}" for k, (p, v) in enumerate(zip(_PLAIN, _VALID, strict=True))
+    )
+
+
+@query(rf"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED ({_base("texts", "text")}),
+lines AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, line FROM (
+    SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ 	-]'))),
+held AS MATERIALIZED ({_base("lines", "line")}),
+around AS (
+  SELECT row, kind || ':' || CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE {_DIGITS} END AS entity,
+    substring(line, greatest(start - {sanitize.REACH}, 0) + 1, start - greatest(start - {sanitize.REACH}, 0)) AS l, start > {sanitize.REACH} AS cut_l,
+    substring(line, stop + 1, {sanitize.REACH}) AS r, length(line) > stop + {sanitize.REACH} AS cut_r
+  FROM held JOIN lines USING (row)),
+near AS (
+  SELECT row, entity, unnest(regexp_extract_all({_LOW.format("w")}, '[\p{{L}}\p{{N}}]+')) AS term FROM (
+    SELECT row, entity, CASE WHEN cut_l THEN regexp_replace(l, '^[\p{{L}}\p{{N}}]+', '') ELSE l END || chr(10)
+      || CASE WHEN cut_r THEN regexp_replace(r, '[\p{{L}}\p{{N}}]+$', '') ELSE r END AS w FROM around)),
+pairs AS (
+  SELECT row, entity, term AS key FROM near UNION SELECT row, entity, left(term, {sanitize.GENERAL}) || '*' FROM near UNION SELECT row, entity, '' FROM around),
+shared AS MATERIALIZED (SELECT entity, key, count(*) AS n_both FROM pairs GROUP BY ALL HAVING count(*) >= {sanitize.LEAST_LINES}),
+words AS (SELECT row, unnest(regexp_extract_all({_LOW.format("line")}, '[\p{{L}}\p{{N}}]+')) AS term FROM lines),
+keys AS (SELECT row, term AS key FROM words UNION SELECT row, left(term, {sanitize.GENERAL}) || '*' FROM words),
+counts AS MATERIALIZED (SELECT key, count(*) AS n FROM keys GROUP BY key),
+telling AS MATERIALIZED (
+  SELECT DISTINCT s.key FROM shared s JOIN shared o ON o.entity = s.entity AND o.key = '' JOIN counts c ON c.key = s.key, (SELECT count(*) AS total FROM lines)
+  WHERE s.key <> '' AND o.n_both < total AND ln(s.n_both::DOUBLE * total / (o.n_both::DOUBLE * c.n)) >= {sanitize.DISCLOSURE} * ln(total / o.n_both::DOUBLE)),
+low AS (SELECT row, {_LOW.format("text")} AS text FROM texts),
+spans AS MATERIALIZED (
+  SELECT row, kind, start, stop FROM base
+  UNION ALL SELECT row, {sanitize.TERM}, start, stop FROM ({_matches("low", "text", _WORD)}) t
+  WHERE m IN (SELECT key FROM telling) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND b.start < t.stop AND t.start < b.stop)),
+said AS (SELECT row, kind, start, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM spans),
+joined AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
+    count(*) FILTER (kind = 3) AS n_phone, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {sanitize.TERM}) AS base,
+    string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM said GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (row)
+""")
+def op13_personal_data(spark, folder):
+    return sanitize.digest(sanitize.sanitized(_read(spark, folder, "documents")))
