@@ -260,18 +260,26 @@ def enriched_users_drop(t: Tables) -> DataFrame:
 FROM reviews JOIN books ON gid = book_gid JOIN part ON p_partkey = book_gid"""
 )
 def incremental_enrichment(t: Tables) -> DataFrame:
-    """The stream over review files, drained, then pending rows resolved: the batch result.
+    """Reviews after three rounds in which books come late and reviews come again: the batch result."""
+    rows = incremental.current_reviews(t.spark, _polled(t))
+    return rows.select("review_gid", _list("list_shelves", "shelve").alias("shelves"), "resolved")
+
 
-    Runs twice over the same folder; the second run finds nothing new.
-    """
+def _polled(t: Tables) -> incremental.EnrichPaths:
     root, source = new_path(t.spark, "incremental"), new_path(t.spark, "review-files")
+    books = t.books().select("gid", "list_shelves")
     t.reviews().write.parquet(source)
-    early = t.books().where("gid % 2 = 0").select("gid", "list_shelves")
-    stream = lambda: incremental.review_stream(t.spark, source, t.reviews().schema, files_per_batch=4)
-    incremental.incremental_enrich(stream(), early, root)
-    paths = incremental.incremental_enrich(stream(), early, root)
-    rows = incremental.retry_pending(t.spark, paths, t.books().select("gid", "list_shelves"))
-    return rows.select("review_gid", _list("list_shelves", "shelve").alias("shelves"), "resolved")
+    for late in (books.where("gid % 2 = 0"), books.where("gid % 3 <> 1"), books):
+        stream = incremental.review_stream(t.spark, source, t.reviews().schema, files_per_batch=4)
+        paths = incremental.incremental_enrich(stream, late, root, max_wait=1)
+        t.reviews().where("review_gid % 7 = 0").write.mode("append").parquet(source)
+    return paths
+
+
+@query(_flags_sql("all_resolved"))
+def polled_user_flags(t: Tables) -> DataFrame:
+    """Flags of users from the state of the rounds: those of the batch job."""
+    return incremental.polled_users(t.users(), _polled(t)).select("gid", "reviews_retrieved", "shelves_reviews_retrieved")
 
 
 @query(

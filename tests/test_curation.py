@@ -9,7 +9,6 @@ from recspark import schemas
 from recspark.functions import text as X
 from recspark.operators import caps, enrich, flags, sentiment, shelves
 from recspark.sources import html, merge, sinks, tables, xml
-from recspark.streaming import incremental
 
 SHELF = "STRUCT<shelve: STRING, count: BIGINT>"
 NESTED = (
@@ -229,22 +228,3 @@ def test_sentences_are_all_kept(spark):
     assert rows == [(1, 0, "Good day", 2, 1.0, 0.5), (1, 1, "42", 0, 0.0, 0.0), (1, 2, "Good, bad", 2, 0.25, 0.75), (1, 3, "Odd", 1, 0.0, 0.0)]
     blobs = {r.doc_id: (r.instantiated, None if r.sentences is None else [tuple(s) for s in r.sentences]) for r in sentiment.review_textblob(docs, scored).collect()}
     assert blobs == {1: (True, [r[2:3] + r[4:] for r in rows]), 2: (True, []), 3: (False, None)}
-
-
-def test_incremental_is_idempotent(spark, tmp_path):
-    schema = f"review_gid bigint, user_gid bigint, book_gid bigint, list_shelves array<{SHELF}>"
-    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    books = spark.createDataFrame([(10, [("x", 1)]), (11, None)], f"gid bigint, list_shelves array<{SHELF}>")
-    run = lambda: incremental.incremental_enrich(
-        incremental.review_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), books, str(tmp_path / "out")
-    )
-    put([(1, 1, 10, None), (2, 1, 11, None)])
-    paths = run()
-    assert spark.read.parquet(paths.resolved).count() == 1 and spark.read.parquet(paths.retry).count() == 1
-    run()
-    put([(1, 1, 10, None), (3, 1, 10, None)])  # one review comes again
-    run()
-    assert sorted(r.review_gid for r in spark.read.parquet(paths.resolved).collect()) == [1, 3]
-    later = spark.createDataFrame([(11, [("y", 1)])], f"gid bigint, list_shelves array<{SHELF}>")
-    rows = {r.review_gid: r.resolved for r in incremental.retry_pending(spark, paths, later).collect()}
-    assert rows == {1: True, 2: True, 3: True}
