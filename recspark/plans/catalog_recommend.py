@@ -23,30 +23,30 @@ def _threshold(p: float) -> str:
 def fwum_sql(source: str, views: tuple[str, ...], params: fwum.FwumParams) -> str:
     """CTEs of the whole job, by brute force over all pairs of users."""
     return with_views(*views) + f""",
-split AS (
+split AS MATERIALIZED (
   SELECT *, substr(md5(concat_ws(':', '{params.seed}', user_id, item_id)), 1, 8) < '{_threshold(params.train_pct)}' AS is_train
   FROM {source}),
-ff AS (SELECT user_id, feature, count(*) AS ff FROM split WHERE is_train GROUP BY ALL),
-fw AS (SELECT feature, count(*) AS df, log10((SELECT count(DISTINCT user_id) FROM split)::DOUBLE / count(*)) AS fw
+ff AS MATERIALIZED (SELECT user_id, feature, count(*) AS ff FROM split WHERE is_train GROUP BY ALL),
+fw AS MATERIALIZED (SELECT feature, count(*) AS df, log10((SELECT count(DISTINCT user_id) FROM split)::DOUBLE / count(*)) AS fw
        FROM ff GROUP BY feature),
-prof AS (SELECT user_id, feature, ff, fw, fw * ff AS weight FROM ff JOIN fw USING (feature)),
-sims AS (
+prof AS MATERIALIZED (SELECT user_id, feature, ff, fw, fw * ff AS weight FROM ff JOIN fw USING (feature)),
+sims AS MATERIALIZED (
   SELECT a.user_id, b.user_id AS neighbor_id, round(2 * sum(a.weight) / sum(a.weight * a.weight), 6) AS sim
   FROM prof a JOIN prof b ON a.feature = b.feature AND a.ff = b.ff AND a.user_id <> b.user_id AND a.weight > 0
   GROUP BY ALL),
 holders AS (SELECT DISTINCT user_id FROM ff),
-nn AS (
+nn AS MATERIALIZED (
   SELECT u.user_id, v.user_id AS neighbor_id, coalesce(sim, 0.0) AS sim,
          row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(sim, 0.0) DESC, v.user_id) AS rank
   FROM holders u JOIN holders v ON u.user_id <> v.user_id
   LEFT JOIN sims s ON s.user_id = u.user_id AND s.neighbor_id = v.user_id
   QUALIFY rank <= {params.n_similar}),
-nbf AS (SELECT nn.user_id, feature, CAST(sum(ff) AS BIGINT) AS nbf FROM nn JOIN ff ON ff.user_id = neighbor_id GROUP BY ALL),
-scores AS (
+nbf AS MATERIALIZED (SELECT nn.user_id, feature, CAST(sum(ff) AS BIGINT) AS nbf FROM nn JOIN ff ON ff.user_id = neighbor_id GROUP BY ALL),
+scores AS MATERIALIZED (
   SELECT nn.user_id, s.item_id, CAST(sum(nbf) AS BIGINT) AS score
   FROM nn JOIN split s ON s.user_id = neighbor_id JOIN nbf ON nbf.user_id = nn.user_id AND nbf.feature = s.feature
   GROUP BY ALL),
-recs AS (
+recs AS MATERIALIZED (
   SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
   FROM scores QUALIFY rank <= {params.n_items}),
 test AS (SELECT DISTINCT user_id, item_id FROM split WHERE NOT is_train),
@@ -58,7 +58,7 @@ counts AS (
   SELECT h.user_id, tp, n_rec - tp AS fp, coalesce(n_test, 0) - tp AS fn FROM hits h LEFT JOIN held USING (user_id)),
 rates AS (
   SELECT *, tp / (tp + fp) AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall FROM counts),
-metrics AS (
+metrics AS MATERIALIZED (
   SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM rates)
 """
 

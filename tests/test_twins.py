@@ -4,9 +4,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from recspark.plans.registry import QUERIES, SQL_TWINS as TWINS
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
