@@ -49,8 +49,10 @@ def rows_for(kind, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("kind", ["plain", "hot_item", "dense"])
-@pytest.mark.parametrize("head,rare_limit", [(None, 256), (8, 8), (5, 2), (2, 1)])
+@pytest.mark.parametrize(
+    "kind,head,rare_limit",
+    [("plain", None, 256), ("plain", 5, 2), ("hot_item", 8, 8), ("hot_item", 2, 1), ("dense", None, 256), ("dense", 2, 1)],
+)
 def test_nearest_users_exact(spark, kind, head, rare_limit):
     p = profiles_of(spark, rows_for(kind)).cache()
     n = 5
@@ -138,3 +140,32 @@ def test_bound_of_rare_pairs_peaks_between_weights(spark):
     prof = spark.createDataFrame(rows, "user_id bigint, feature string, ff bigint, weight double")
     best = similarity.nearest_users(prof, 20).where("user_id = 400").orderBy("rank").first()
     assert (best["neighbor_id"], round(best["sim"], 5)) == (1400, 2.41421)
+
+
+def open_profile(spark, n):
+    """``n`` equal users whose list falls short of the limits of their terms, so that all of them stay open, and a few others."""
+    held = {"h1": 0.1, "h2": 0.1, "m1": 0.3, "m2": 0.9}
+    rows = [(u, f, 1, w) for u in range(n) for f, w in held.items()]
+    rows += [(n + u, f, 1, held[f]) for u in range(40) for f in (("m1", "h1") if u % 4 == 0 else ("m2",))]
+    return spark.createDataFrame(rows, "user_id bigint, feature string, ff bigint, weight double")
+
+
+def test_open_users_write_rows_in_proportion(spark, monkeypatch):
+    """A class of open users is read as one group: rows follow the users, not their square, and the result is exact."""
+    monkeypatch.setattr(similarity, "TOP_TERMS", 2)
+    plain, rows = similarity.materialize, []
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[-1] += out.count() if name.startswith(("open", "known", "group")) else 0
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    for n in (400, 800):
+        rows.append(0)
+        p = open_profile(spark, n)
+        got = {}
+        for r in similarity.nearest_users(p, 4, 4, 4).orderBy("user_id", "rank").collect():
+            got.setdefault(r.user_id, []).append(r.neighbor_id)
+        assert got == brute(p.collect(), 4)
+    assert 0 < rows[0] < 100 * 400 and rows[1] < 2.2 * rows[0]
