@@ -16,19 +16,30 @@ def stop_factor(hop: int) -> float:
     return 1.0 / (1.0 + math.exp(-hop / 2.0))
 
 
+def _closest(sims: DataFrame, below: int, upto: int) -> DataFrame:
+    """``(target_item, item, sim)``: the items of each target at the places ``below + 1`` to ``upto``, the closest first."""
+    closest = Window.partitionBy("target_item").orderBy(F.desc("sim"), "item")
+    ranked = sims.withColumn("rn", F.row_number().over(closest)).where(F.col("rn") <= upto)
+    return ranked.where(F.col("rn") > below).drop("rn")
+
+
+def _probes(pairs: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """Pairs with what is tried for each of them: items of the target, or items of the user."""
+    return pairs.join(rows, by)
+
+
 def best_match(pairs: DataFrame, reviews: DataFrame, item_sim: DataFrame, head: int = 16) -> DataFrame:
     """``(dst, target_item, sim, rating)``: the rated item of ``dst`` closest to the target.
 
     Ties go to the lower item. Depends on the user and the target alone, so each distinct
-    pair is computed once however many walks arrive there. A popular target resembles very
-    many items; its ``head`` closest items are tried first and settle every pair that rated
-    one of them, since all others are no closer. Only pairs left over compare all items.
+    pair is computed once however many walks arrive there. The ``head`` closest items of a
+    target settle every pair that rated one of them, since all others are no closer. Pairs
+    left over try the next ``2 * head`` items, then twice as many, and so on until their first hit; a user
+    who rated no more than the next range holds tries the rated items instead and is done. So a
+    pair costs no more than a few times its hit's place, nor than a few times the user's items.
     """
-    pairs = pairs.select("dst", "target_item").distinct()
     sims = item_sim.select("target_item", "item", "sim")
     rated = reviews.select(F.col("user_id").alias("dst"), F.col("item_id").alias("item"), "rating")
-    closest = Window.partitionBy("target_item").orderBy(F.desc("sim"), "item")
-    ranked = sims.withColumn("rn", F.row_number().over(closest)).where(F.col("rn") <= head + 1)
 
     def pick(rows: DataFrame) -> DataFrame:
         best = F.min(F.struct((-F.col("sim")).alias("minus"), "item", "rating"))
@@ -38,15 +49,25 @@ def best_match(pairs: DataFrame, reviews: DataFrame, item_sim: DataFrame, head:
             .select("dst", "target_item", (-F.col("b.minus")).alias("sim"), F.col("b.rating").alias("rating"))
         )
 
-    pairs = materialize(pairs, "match-pairs")
-    first = materialize(
-        pick(pairs.join(ranked.where(F.col("rn") <= head).drop("rn"), "target_item").join(rated, ["dst", "item"])),
-        "closest-matches",
-    )
-    longer = ranked.where(F.col("rn") == head + 1).select("target_item")
-    left = pairs.join(longer, "target_item", "left_semi").join(first, ["dst", "target_item"], "left_anti")
-    rest = pick(left.join(rated, "dst").join(sims, ["target_item", "item"]))
-    return first.unionByName(rest)
+    pairs = materialize(pairs.select("dst", "target_item").distinct(), "match-pairs")
+    found = materialize(pick(_probes(pairs, _closest(sims, 0, head), "target_item").join(rated, ["dst", "item"])), "closest-matches")
+    held = rated.groupBy("dst").agg(F.count(F.lit(1)).alias("n_rated"))
+    sizes = sims.groupBy("target_item").agg(F.count(F.lit(1)).alias("n_items"))
+    longer = sizes.where(F.col("n_items") > head)
+    left = pairs.join(found, ["dst", "target_item"], "left_anti").join(longer, "target_item").join(held, "dst")
+    left, done, width = materialize(left, "match-left"), head, 2 * head
+    while not left.isEmpty():
+        few, many = left.where(F.col("n_rated") <= width), left.where(F.col("n_rated") > width)
+        own = pick(_probes(few, rated, "dst").join(sims, ["target_item", "item"]))
+        if many.isEmpty():
+            return found.unionByName(own)
+        wanted = sims.join(many.select("target_item").distinct(), "target_item", "left_semi")
+        near = pick(_probes(many, _closest(wanted, done, done + width), "target_item").join(rated, ["dst", "item"]))
+        new = materialize(own.unionByName(near), "closest-matches")
+        done, width = done + width, 2 * width
+        rest = many.where(F.col("n_items") > done).join(new, ["dst", "target_item"], "left_anti")
+        found, left = found.unionByName(new), materialize(rest, "match-left")
+    return found
 
 
 def stop_probability(

@@ -116,3 +116,28 @@ def test_split_covers_all_rows(spark):
     assert split.split_holdout(rows, 1.0).where("not is_train").isEmpty()
     assert split.split_holdout(rows, 0.0).where("is_train").isEmpty()
     assert s.exceptAll(split.split_holdout(rows, 0.75)).isEmpty()
+
+
+def test_best_match_of_a_celebrity(spark, monkeypatch):
+    """A user with R items and T targets tries far fewer than R * T items, and finds what comparing all finds."""
+    draw = random.Random(8)
+    sims = [(t, i, round(1 / (1 + k), 6)) for t in range(60) for k, i in enumerate(draw.sample(range(3000), 400))]
+    reviews = [(1, i, float(i % 5)) for i in draw.sample(range(3000), 900)]
+    reviews += [(2, i, 1.0) for i in range(5000, 5200)] + [(3, sims[399][1], 4.0), (3, 9999, 1.0)] + [(u, draw.randrange(3000), 2.0) for u in range(4, 60)]
+    pairs = [(u, t) for u in (1, 2, 3) for t in range(60)] + [(u, u % 60) for u in range(4, 70)]
+    rows, plain = [], trust_walk._probes
+    monkeypatch.setattr(trust_walk, "_probes", lambda *a: rows.append(plain(*a).where("dst = 1").count()) or plain(*a))
+    got = trust_walk.best_match(
+        spark.createDataFrame(pairs, "dst bigint, target_item bigint"),
+        spark.createDataFrame(reviews, "user_id bigint, item_id bigint, rating double"),
+        spark.createDataFrame(sims, "target_item bigint, item bigint, sim double"), head=4,
+    )
+    rated, want = {}, {}
+    for u, i, r in reviews:
+        rated.setdefault(u, {}).setdefault(i, r)
+    for u, t in pairs:
+        near = [(-s, i) for tt, i, s in sims if tt == t and i in rated.get(u, {})]
+        if near:
+            want[u, t] = (-min(near)[0], rated[u][min(near)[1]])
+    assert {(r.dst, r.target_item): (r.sim, r.rating) for r in got.collect()} == want
+    assert 0 < sum(rows) < 60 * 900 / 20
