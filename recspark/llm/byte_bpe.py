@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from recspark.llm.words import slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Encoded pieces that a Python worker remembers, and characters of a piece worth remembering.
-_REMEMBERED, _SHORT = 500_000, 48
+#: Encoded pieces and words that a Python worker remembers (about 200 bytes each), pairs of neighbours (about 100), and
+#: characters of a piece worth remembering: some 75 MB a worker in all. A full memory starts anew.
+_REMEMBERED, _PAIRS, _SHORT = 150_000, 150_000, 48
 #: Characters of a long text that are cut at a time.
 _STRIDE = 1 << 20
 
@@ -90,9 +91,13 @@ class ByteBpe:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens leaves exactly these two."""
         key = left << 32 | right
-        if key not in self.fits:
-            self.fits[key] = self._apart(left, right)
-        return self.fits[key]
+        fit = self.fits.get(key)
+        if fit is None:
+            fit = self._apart(left, right)
+            if len(self.fits) >= _PAIRS:
+                self.fits.clear()
+            self.fits[key] = fit
+        return fit
 
     def _apart(self, left: int, right: int) -> bool:
         """Undo merges from the last one back; any merge across the border that would have come first joins them."""

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from recspark.llm import catalog
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +54,9 @@ def test_near_copies_go_at_five_words_and_four_fifths(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect()}
     assert kept == kept_of_near(rows)
     assert kept != kept_of_near(rows, 3, 90)
+
+
+def test_queries_without_twin_run(spark):
+    for name in sorted(set(catalog.QUERIES) - set(catalog.SQL_TWINS)):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -130,6 +130,19 @@ def test_byte_bpe_equals_the_library():
         assert ours.decode(ids) == text.encode()
 
 
+def test_byte_bpe_memories_are_bounded(monkeypatch):
+    """Full memories start anew and change no result."""
+    draw = random.Random(9)
+    texts = [" ".join("".join(draw.choice("abcdeé!1") for _ in range(draw.randint(1, 12))) for _ in range(400)) for _ in range(6)]
+    free = byte_bpe.ByteBpe()
+    want = [free.encode(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "_REMEMBERED", 50)
+    monkeypatch.setattr(byte_bpe, "_PAIRS", 20)
+    tight = byte_bpe.ByteBpe()
+    assert [tight.encode(t) for t in texts] == want
+    assert max(len(tight.words), len(tight.known)) <= 50 and len(tight.fits) <= 20
+
+
 def test_byte_bpe_long_texts_are_cut_safely(monkeypatch):
     ours = byte_bpe.ByteBpe()
     text = "some words \n\n and  spaces 12 " * 50
