@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions.text import safe_ratio
@@ -84,33 +84,45 @@ def item_cooccurrence(
     raise ValueError(f"unknown method {method!r}")
 
 
+def _bit(bits: Column, position: Column) -> Column:
+    """A bit of a packed block."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), position % 8)).cast("int") % 2
+
+
+def _blocks(users: DataFrame) -> DataFrame:
+    """``(block, bits)``: users as bits, 32,768 ids to a block of four kilobytes."""
+    block, at = F.bitmap_bucket_number("user_id").alias("block"), F.bitmap_bit_position("user_id")
+    return users.groupBy(block).agg(F.bitmap_construct_agg(at).alias("bits"))
+
+
 def khop_expand(
     edges: DataFrame, seeds: DataFrame, max_level: int = 5, leaves: DataFrame | None = None
 ) -> DataFrame:
     """``(user_id, level)``: users within ``max_level`` steps of the seeds, at their least depth.
 
-    Each level joins the frontier with the edges and drops users already met, so cycles
-    end. Users listed in ``leaves`` are reached but not expanded. Levels are written out, so
-    a lost executor costs one level at most.
+    Each level joins the frontier with the edges, which are made distinct and written once, and drops users already met,
+    so cycles end. Users met are kept as packed bits, a row for each block of ids, so a level has one join with a short
+    table however many were met before. Users listed in ``leaves`` are reached but not expanded. Levels are
+    written out, so a lost executor costs one level at most. Ids are whole numbers, best without large gaps; null
+    ids are left out.
     """
-    links = edges.select("src", "dst").distinct()
+    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     if leaves is not None:
         links = links.join(leaves.select(F.col("user_id").alias("src")), "src", "left_anti")
-    frontier = materialize(
-        seeds.select("user_id").distinct().withColumn("level", F.lit(0).cast("bigint")), "frontier"
-    )
-    seen = frontier
+    links = materialize(links, "links")
+    start = seeds.select("user_id").where("user_id is not null").distinct()
+    frontier = materialize(start.withColumn("level", F.lit(0).cast("bigint")), "frontier")
+    met, found = materialize(_blocks(frontier), "met"), frontier
     for level in range(1, max_level + 1):
-        step = (
-            frontier.select(F.col("user_id").alias("src"))
-            .join(links, "src")
-            .select(F.col("dst").alias("user_id"))
-            .distinct()
-            .join(seen, "user_id", "left_anti")
-            .withColumn("level", F.lit(level).cast("bigint"))
-        )
-        frontier = materialize(step, "frontier")
+        reached = frontier.select(F.col("user_id").alias("src")).join(links, "src").select(F.col("dst").alias("user_id")).distinct()
+        placed = reached.withColumn("block", F.bitmap_bucket_number("user_id")).join(met, "block", "left")
+        fresh = placed.where(F.col("bits").isNull() | (_bit(F.col("bits"), F.bitmap_bit_position("user_id")) == 0))
+        frontier = materialize(fresh.select("user_id", F.lit(level).cast("bigint").alias("level")), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = found.unionByName(frontier)
+        if level < max_level:
+            both = met.unionByName(_blocks(frontier))
+            met = materialize(both.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")), "met")
+    return found

@@ -98,7 +98,7 @@ def _plain(df: DataFrame, flag: str, name: str) -> DataFrame:
 def nested_interactions_exploded(t: Tables) -> DataFrame:
     path = new_path(t.spark, "nested")
     t.nested_interactions().write.parquet(path)
-    return fwum.explode_interactions(t.spark.read.parquet(path))
+    return fwum.explode_interactions(tables.read_interactions(t.spark, path))
 
 
 @query(
@@ -286,17 +286,15 @@ def fwum_recommend_unseen(t: Tables) -> DataFrame:
     "FROM recs r JOIN metrics m USING (user_id)"
 )
 def results_written_and_read(t: Tables) -> DataFrame:
-    """Recommendations and metrics through their sinks, with run columns."""
+    """Recommendations and metrics as a published run, read back through the table of runs."""
     r = fwum.run_fwum(t.interactions(), SMALL)
     run = sinks.run_id(SMALL.n_similar, SMALL.n_items, r.recommendations.select("user_id").distinct().count())
-    recs_path, metrics_path = new_path(t.spark, "recs"), new_path(t.spark, "metrics")
-    sinks.write_recommendations(sinks.tag_run(r.recommendations, run), recs_path)
-    sinks.write_metrics(sinks.tag_run(r.metrics, run, n_similar=SMALL.n_similar), metrics_path)
-    recs = t.spark.read.parquet(recs_path).where(F.col("run_id") == run)
-    metrics = t.spark.read.parquet(metrics_path).where(F.col("run_id") == run)
-    return recs.select("user_id", "item_id", "rank").join(
-        metrics.select("user_id", F.round("f1", 6).alias("f1"), "n_similar"), "user_id"
-    )
+    root = new_path(t.spark, "runs")
+    results = {"recommendations": r.recommendations.select("user_id", "item_id", "rank"), "metrics": r.metrics}
+    sinks.publish_run(t.spark, root, run, results, n_similar=SMALL.n_similar, n_items=SMALL.n_items)
+    recs, metrics = (sinks.read_run(t.spark, root, run, name) for name in results)
+    params = sinks.published_runs(t.spark, root).select("run_id", F.col("params")["n_similar"].cast("int").alias("n_similar"))
+    return recs.join(metrics.select("user_id", F.round("f1", 6).alias("f1")), "user_id").join(params, "run_id").drop("run_id")
 
 
 @query(

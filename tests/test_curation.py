@@ -228,3 +228,24 @@ def test_sentences_are_all_kept(spark):
     assert rows == [(1, 0, "Good day", 2, 1.0, 0.5), (1, 1, "42", 0, 0.0, 0.0), (1, 2, "Good, bad", 2, 0.25, 0.75), (1, 3, "Odd", 1, 0.0, 0.0)]
     blobs = {r.doc_id: (r.instantiated, None if r.sentences is None else [tuple(s) for s in r.sentences]) for r in sentiment.review_textblob(docs, scored).collect()}
     assert blobs == {1: (True, [r[2:3] + r[4:] for r in rows]), 2: (True, []), 3: (False, None)}
+
+
+def test_runs_are_seen_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    table = lambda *ids: spark.createDataFrame([(i,) for i in ids], "user_id bigint")
+    broken = table(1).withColumn("x", F.raise_error(F.lit("lost")).cast("int"))
+    sinks.publish_run(spark, root, "a", {"recs": table(1, 2), "metrics": table(1)}, n=3)
+    for _ in range(2):  # breaks between its two tables
+        with pytest.raises(Exception, match="lost"):
+            sinks.publish_run(spark, root, "b", {"recs": table(5), "metrics": broken}, n=4)
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_run(spark, root, "a", {"recs": table(9), "metrics": broken}, n=5)
+    seen = lambda: {r.run_id: (r.params["n"], r.counts) for r in sinks.published_runs(spark, root).collect()}
+    assert seen() == {"a": ("3", {"recs": 2, "metrics": 1})}
+    with pytest.raises(LookupError):
+        sinks.read_run(spark, root, "b", "recs")
+    sinks.publish_run(spark, root, "b", {"recs": table(5), "metrics": table()}, n=4)
+    sinks.publish_run(spark, root, "a", {"recs": table(9), "metrics": table(9)}, n=5)
+    assert seen() == {"a": ("5", {"recs": 1, "metrics": 1}), "b": ("4", {"recs": 1, "metrics": 0})}
+    assert [tuple(r) for r in sinks.read_run(spark, root, "a", "recs").collect()] == [(9, "a")]
+    assert sinks.read_run(spark, root, "b", "metrics").count() == 0

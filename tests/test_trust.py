@@ -91,6 +91,29 @@ def test_khop_ends_on_cycles(spark):
     assert level(seeds.select(F.lit(3).cast("bigint").alias("user_id"))) == {1: 0, 2: 1, 3: 2}
 
 
+def test_khop_against_plain_python(spark, monkeypatch):
+    """Wide ids, cycles and several seeds; a level joins one table of blocks and makes no edges distinct again."""
+    draw, plans, plain = random.Random(5), [], trust_graph.materialize
+
+    def seen(df, name):
+        if name == "frontier":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(trust_graph, "materialize", seen)
+    ids = [draw.randrange(200_000) for _ in range(150)] + [0, 7, 8, 32767, 32768, 32769, 65536]
+    edges = [(draw.choice(ids), draw.choice(ids)) for _ in range(260)] * 2 + [(None, 7), (8, None)]
+    seeds, private = ids[:3] + ids[:1], set(ids[10:20])
+    level = {i: 0 for i in seeds}
+    for k in range(1, 5):
+        level |= {b: k for a, b in edges if a is not None and b is not None and level.get(a) == k - 1 and a not in private and b not in level}
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
+    got = trust_graph.khop_expand(frame(edges, ("src", "dst")), frame([(i,) for i in seeds], ("user_id",)), 4, frame([(i,) for i in private], ("user_id",)))
+    assert {r.user_id: r.level for r in got.collect()} == level and max(level.values()) == 4
+    joins = [line for line in plans[-1].split("\n") if "Join" in line]
+    assert len(joins) == 2 and plans[-1].count("HashAggregate") == plans[2].count("HashAggregate") == 2
+
+
 def test_unpaired_keys_raise(spark):
     one = spark.createDataFrame([(1, "a"), (2, "b")], "user_id bigint, item_id string")
     evaluate.assert_paired(one, one, ["user_id", "item_id"])
