@@ -49,15 +49,26 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def tokens_by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each token, by rank."""
+    token = [b""] * (max(ranks.values()) + 1)
+    for t, rank in ranks.items():
+        token[rank] = t
+    return token
+
+
+def decode(token: list[bytes], ids: bytes) -> bytes:
+    """The bytes of ids, little-endian unsigned 32-bit numbers."""
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class ByteBpe:
     """Encodes and decodes texts by the ranks of a file."""
 
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN):
         ranks = load_ranks(path)
         self.rank = ranks
-        self.token = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token[rank] = token
+        self.token = tokens_by_rank(ranks)
         self.size = [len(t) for t in self.token]
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -212,10 +223,11 @@ class ByteBpe:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decode(self.token, ids)
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
+_tokens: dict[str, list[bytes]] = {}
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
@@ -225,6 +237,13 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return _coders[path, pattern]
 
 
+def tokens(path: str) -> list[bytes]:
+    """The tokens of a rank file: all that decoding needs, so its workers hold no automaton."""
+    if path not in _tokens:
+        _tokens[path] = tokens_by_rank(load_ranks(path))
+    return _tokens[path]
+
+
 def encode_texts(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id, ids``: the ids of each text as little-endian unsigned 32-bit numbers."""
 
@@ -238,17 +257,17 @@ def encode_texts(docs: DataFrame, path: str = RANKS, pattern: str = public_token
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
 
 
-def decode_ids(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded`` of the rows of `encode_texts`."""
 
-    def decode(batches):
-        bpe = coder(path, pattern)
+    def run(batches):
+        token = tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = [], [], [], []
                 for ids in part.column(1).to_pylist():
-                    data = bpe.decode(ids)
+                    data = decode(token, ids)
                     out[0].append(len(ids) // 4)
                     out[1].append(hashlib.sha256(ids).hexdigest())
                     out[2].append(hashlib.sha256(data).hexdigest())
@@ -258,4 +277,4 @@ def decode_ids(encoded: DataFrame, path: str = RANKS, pattern: str = public_toke
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary"
-    return encoded.mapInArrow(decode, schema)
+    return encoded.mapInArrow(run, schema)
