@@ -29,6 +29,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from recspark.llm import worker
 from recspark.llm.words import slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -231,7 +232,8 @@ _tokens: dict[str, list[bytes]] = {}
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
-    """One coder for each worker and rank file."""
+    """One coder for each worker and rank file, dropped when another operator claims the worker."""
+    worker.claim("byte_bpe", _coders.clear)
     if (path, pattern) not in _coders:
         _coders[path, pattern] = ByteBpe(path, pattern)
     return _coders[path, pattern]
@@ -257,24 +259,42 @@ def encode_texts(docs: DataFrame, path: str = RANKS, pattern: str = public_token
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
 
 
+_DECODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary"
+
+
+def _decoded(doc_id: pa.Array, all_ids: list[bytes], token: list[bytes]) -> pa.RecordBatch:
+    out = [], [], [], []
+    for ids in all_ids:
+        data = decode(token, ids)
+        for column, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), data), strict=True):
+            column.append(x)
+    kinds = pa.int64(), pa.string(), pa.string(), pa.binary()
+    columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", *(c.split()[0] for c in _DECODED.split(", "))])
+
+
 def decode_ids(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded`` of the rows of `encode_texts`."""
 
     def run(batches):
-        token = tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = [], [], [], []
-                for ids in part.column(1).to_pylist():
-                    data = decode(token, ids)
-                    out[0].append(len(ids) // 4)
-                    out[1].append(hashlib.sha256(ids).hexdigest())
-                    out[2].append(hashlib.sha256(data).hexdigest())
-                    out[3].append(data)
-                kinds = pa.int64(), pa.string(), pa.string(), pa.binary()
-                columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary"
-    return encoded.mapInArrow(run, schema)
+                yield _decoded(part.column(0), part.column(1).to_pylist(), tokens(path))
+
+    return encoded.mapInArrow(run, f"doc_id long, {_DECODED}")
+
+
+def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """`decode_ids` of `encode_texts`, in one worker a task: ids are decoded where they were made."""
+
+    def run(batches):
+        bpe = coder(path, pattern)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                for at in range(0, len(ids), 512):
+                    yield _decoded(part.column(0).slice(at, 512), ids[at : at + 512], bpe.token).drop_columns(["decoded"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, f"doc_id long, {_DECODED.rpartition(',')[0]}")

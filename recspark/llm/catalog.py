@@ -31,8 +31,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 @query()
 def op1_byte_bpe(spark, folder):
-    encoded = byte_bpe.encode_texts(_read(spark, folder, "documents"))
-    return byte_bpe.decode_ids(encoded).drop("decoded")
+    return byte_bpe.round_trip(_read(spark, folder, "documents"))
 
 
 @query()
@@ -322,7 +321,8 @@ WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce
 base AS MATERIALIZED ({_base("texts", "text")}),
 lines AS MATERIALIZED (
   SELECT row_number() OVER () AS row, line FROM (
-    SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ 	-]'))),
+    SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ 	-
+]'))),
 held AS MATERIALIZED ({_base("lines", "line")}),
 around AS (
   SELECT row, kind || ':' || CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE {_DIGITS} END AS entity,

@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recspark.llm import worker
+
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Bytes of the ordinary dictionary, of each of its training windows, and compression level.
 _ORDINARY_BYTES, _TRAIN_BYTES, _LEVEL = 8192, 256, 13
@@ -40,7 +42,8 @@ _ORDINARY_BYTES, _TRAIN_BYTES, _LEVEL = 8192, 256, 13
 _LEAST_SHARE, _TIMES = 0.008, 40
 _PARTS = (5, 6, 7)
 _SAVED = tuple(range(1, 9))
-_REMEMBERED = 400_000
+#: Words that a worker remembers, about 150 bytes each.
+_REMEMBERED = 150_000
 _CARRIER = b"~`^_~^`_~~^^``__"
 _SECOND = bytes((b * 171 + 13) % 256 for b in range(256))
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -255,6 +258,7 @@ def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
+        worker.claim("toxicity")
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
     return judge(text)

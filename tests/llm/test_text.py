@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from recspark.llm import byte_bpe, decontaminate, main_text, ngram_join, substrings, token_files, toxicity
+from recspark.llm import byte_bpe, decontaminate, main_text, ngram_join, substrings, token_files, toxicity, worker
 
 EXTRA = "doc_id long, text string, row string, mark long, kept string, n long, token string"
 
@@ -143,6 +143,25 @@ def test_byte_bpe_memories_are_bounded(monkeypatch):
     assert max(len(tight.words), len(tight.known)) <= 50 and len(tight.fits) <= 20
 
 
+def test_round_trip_equals_encoding_and_decoding(spark):
+    docs = frame(spark, [(1, "héllo wörld"), (2, None), (None, ""), (3, "x " * 2000), (1, "again")])
+    apart = byte_bpe.decode_ids(byte_bpe.encode_texts(docs)).drop("decoded")
+    once = byte_bpe.round_trip(docs)
+    assert once.schema == apart.schema and sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_a_worker_drops_what_another_operator_remembers():
+    held, gone = {"a": 1}, []
+    worker.claim("one", held.clear)
+    worker.claim("one", held.clear)
+    assert held
+    worker.claim("two", lambda: gone.append(1))
+    worker.claim("two")
+    assert not held and not gone
+    worker.claim("one")
+    assert gone == [1]
+
+
 def test_byte_bpe_long_texts_are_cut_safely(monkeypatch):
     ours = byte_bpe.ByteBpe()
     text = "some words \n\n and  spaces 12 " * 50
