@@ -44,7 +44,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each text, encoded and decoded again."""
-    return byte_bpe.decode_ids(byte_bpe.encode_texts(docs)).drop("decoded")
+    return byte_bpe.round_trip(docs)
 
 
 STAGES = [
