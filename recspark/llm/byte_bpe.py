@@ -33,8 +33,8 @@ from recspark.llm import worker
 from recspark.llm.words import slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Encoded pieces and words that a Python worker remembers (about 200 bytes each), pairs of neighbours (about 100), and
-#: characters of a piece worth remembering: some 75 MB a worker in all. A full memory starts anew.
+#: Encoded pieces and words that a generation of a worker's memory holds (about 200 bytes each), pairs of neighbours (about
+#: 100), and characters of a piece worth remembering. Of each there are two generations, some 150 MB a worker in all.
 _REMEMBERED, _PAIRS, _SHORT = 150_000, 150_000, 48
 #: Characters of a long text that are cut at a time.
 _STRIDE = 1 << 20
@@ -63,6 +63,26 @@ def decode(token: list[bytes], ids: bytes) -> bytes:
     return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Memory:
+    """A bounded memory of two generations: a full one becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def recall(self, key, most: int):
+        """A value of the old generation, made new; None if there is none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value, most)
+        return value
+
+    def keep(self, key, value, most: int) -> None:
+        if len(self.new) >= most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ByteBpe:
     """Encodes and decodes texts by the ranks of a file."""
 
@@ -77,9 +97,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.fits, self.known, self.words = Memory(), Memory(), Memory()
         self.longest = max(self.size)
 
     # -- merging
@@ -103,12 +121,12 @@ class ByteBpe:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens leaves exactly these two."""
         key = left << 32 | right
-        fit = self.fits.get(key)
+        fit = self.fits.new.get(key)
         if fit is None:
-            fit = self._apart(left, right)
-            if len(self.fits) >= _PAIRS:
-                self.fits.clear()
-            self.fits[key] = fit
+            fit = self.fits.recall(key, _PAIRS)
+            if fit is None:
+                fit = self._apart(left, right)
+                self.fits.keep(key, fit, _PAIRS)
         return fit
 
     def _apart(self, left: int, right: int) -> bool:
@@ -136,7 +154,7 @@ class ByteBpe:
         token = self.rank.get(piece)
         if token is not None:
             return [token]
-        n, rank, size, fits = len(piece), self.rank, self.size, self.fits
+        n, rank, size = len(piece), self.rank, self.size
         text, reach = piece.decode("latin-1"), self.automaton.longest_prefix
         out: list[int] = []
         tried: list[int] = []  # the longest length still to try, at each place taken
@@ -149,7 +167,7 @@ class ByteBpe:
                 if token is None:
                     continue
                 if last >= 0:
-                    fit = fits.get(last << 32 | token)
+                    fit = self.fits.new.get(last << 32 | token)
                     if fit is None:
                         fit = self.compatible(last, token)
                     if not fit:
@@ -172,29 +190,25 @@ class ByteBpe:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
+        ids = self.known.new.get(piece)
         if ids is None:
-            ids = array("I", self.encode_piece(piece.encode())).tobytes()
-            self._remember(piece, ids)
+            ids = self.known.recall(piece, _REMEMBERED)
+            if ids is None:
+                ids = array("I", self.encode_piece(piece.encode())).tobytes()
+                if len(piece) <= _SHORT:
+                    self.known.keep(piece, ids, _REMEMBERED)
         return ids
 
-    def _remember(self, key: str, ids: bytes) -> None:
-        if len(key) <= _SHORT:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            self.known[key] = ids
-
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
     def _spaced(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
-        unit = " " + word
-        ids = self._pieces(unit)
-        if len(word) <= _SHORT:
-            if len(self.words) >= _REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
+        ids = self.words.recall(word, _REMEMBERED)
+        if ids is None:
+            ids = self._pieces(" " + word)
+            if len(word) <= _SHORT:
+                self.words.keep(word, ids, _REMEMBERED)
         return ids
 
     def _strides(self, text: str) -> Iterator[str]:
@@ -217,7 +231,7 @@ class ByteBpe:
                 first, *words = part.split(" ")
             if first:
                 out.append(self._pieces(first))
-            found = list(map(self.words.get, words))
+            found = list(map(self.words.new.get, words))
             if None in found:
                 found = [self._spaced(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
             out += found

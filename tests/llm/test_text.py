@@ -140,7 +140,8 @@ def test_byte_bpe_memories_are_bounded(monkeypatch):
     monkeypatch.setattr(byte_bpe, "_PAIRS", 20)
     tight = byte_bpe.ByteBpe()
     assert [tight.encode(t) for t in texts] == want
-    assert max(len(tight.words), len(tight.known)) <= 50 and len(tight.fits) <= 20
+    sizes = [max(len(m.new), len(m.old)) for m in (tight.words, tight.known, tight.fits)]
+    assert tight.words.old and sizes[0] <= 50 and sizes[1] <= 50 and sizes[2] <= 20
 
 
 def test_round_trip_equals_encoding_and_decoding(spark):
