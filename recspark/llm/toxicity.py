@@ -6,15 +6,16 @@ words. As zstandard stores very short inputs as they are, a word is written two
 after a carrier that both dictionaries hold, so that only the word makes a difference. Equal words are
 compressed once per worker.
 
-* The ordinary dictionary is trained by zstandard on ordinary text. A dictionary trained on toxic documents
-  as they are would mostly hold ordinary text, so the toxic one holds the words and parts of words that toxic
-  documents have far more often. Words of ordinary text that still look toxic go to the ordinary one.
+* Both dictionaries are trained by zstandard. Toxic documents as they are would mostly teach it ordinary text, so
+  the toxic one is trained on their windows that hold a word or part of a word that toxic documents have far
+  more often, the ordinary one on running text of ordinary documents. Words of ordinary text that still look
+  toxic, at most ``_ALIKE`` of them and the most frequent first, go before the ordinary one.
 * Thresholds: a text's counts of windows that save at least 1, 2, ... bytes go into a logistic curve. Its
   weights are fitted on the third of the sample that the dictionaries haven't seen.
 
-`fit` reads at most ``SAMPLE`` labelled rows of each class (the ones with the smallest hash of id and text)
-and ``SAMPLE_CHARS`` characters of each; scores read whole texts. With no labelled row of one class every
-score is the share of toxic labels, 0 if there are none.
+`fit` reads the whole texts of at most ``SAMPLE`` labelled rows of each class (the ones with the smallest hash of id
+and text); a dictionary is trained on at most ``_WINDOWS`` windows, drawn evenly over all of the sample. Scores read
+whole texts. With no labelled row of one class every score is the share of toxic labels, 0 if there are none.
 
 A null or empty text has no windows and gets the score of a text without toxic words. Null labels are
 ignored; a document with several labels counts once for each. Scores depend on the text alone.
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 
 from recspark.llm import worker
 
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
-#: Bytes of the ordinary dictionary, of each of its training windows, and compression level.
-_ORDINARY_BYTES, _TRAIN_BYTES, _LEVEL = 8192, 256, 13
+SAMPLE = 2000
+#: Bytes of each dictionary at most, of each training window of the ordinary one, and compression level.
+_ORDINARY_BYTES, _TOXIC_BYTES, _TRAIN_BYTES, _LEVEL = 8192, 2048, 256, 13
+#: Windows that a dictionary is trained on, and ordinary words that look toxic, at most.
+_WINDOWS, _ALIKE = 20_000, 400
 #: Least share of toxic samples with a part of a word, and how much more often they have it than others.
 _LEAST_SHARE, _TIMES = 0.008, 40
 _PARTS = (5, 6, 7)
@@ -127,18 +130,18 @@ def _telling_parts(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary:
     """
     have, other = Counter(), Counter()
     for word, n in toxic.items():
-        for part in _parts(word[:40]):
+        for part in _parts(word):
             have[part] += n
     least = max(2.0, _LEAST_SHARE * n_toxic)
     have = Counter({p: n for p, n in have.items() if n >= least})
     for word, n in ordinary.items():
-        for part in _parts(word[:40]):
+        for part in _parts(word):
             if part in have:
                 other[part] += n
     good = {p for p, n in have.items() if n / n_toxic >= _TIMES * (other[p] + 0.5) / (n_ordinary + 1)}
     holding: dict[bytes, list[bytes]] = {p: [] for p in good}
     for word in toxic:
-        for part in _parts(word[:40]) & good:
+        for part in _parts(word) & good:
             holding[part].append(word)
     chosen, left = [], {p: have[p] for p in good}
     while left:
@@ -147,28 +150,37 @@ def _telling_parts(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary:
         chosen.append(best)
         for word in holding[best]:
             if n := toxic.pop(word, 0):
-                for part in _parts(word[:40]) & good:
+                for part in _parts(word) & good:
                     if part in left:
                         left[part] -= n
         left = {p: n for p, n in left.items() if n >= least and p != best}
     return chosen[::-1]
 
 
+def _trained(size: int, windows: list[bytes], instead: bytes) -> bytes:
+    """A dictionary trained on windows drawn evenly; ``instead`` where zstandard finds too little to train on."""
+    n = len(windows)
+    drawn = windows if n <= _WINDOWS else [windows[i * n // _WINDOWS] for i in range(_WINDOWS)]
+    try:
+        return zstandard.train_dictionary(size, drawn).as_bytes()
+    except zstandard.ZstdError:
+        return instead
+
+
 def build(toxic: list[list[bytes]], ordinary: list[list[bytes]], ordinary_texts: list[bytes]) -> Dictionaries:
     """Dictionaries from the words of sample documents."""
     toxic = [toxic[i] for i in _distinct(toxic)]
     in_toxic, seen = (Counter(w for words in docs for w in set(words)) for docs in (toxic, ordinary))
     chosen = _telling_parts(in_toxic, seen, len(toxic), len(ordinary))
-    content = b"".join(p if p[:1] == b" " else b" " + p for p in chosen)
+    content = _wide(b"".join(p if p[:1] == b" " else b" " + p for p in chosen) or b" ")
+    telling = set(chosen)
+    told = {w for words in toxic for w in set(words) if not telling.isdisjoint(_parts(w))}
+    content = _trained(_TOXIC_BYTES, [_wide(b" %s " % w) for words in toxic for w in words if w in told], content)
     windows = [_wide(t[i : i + _TRAIN_BYTES]) for t in ordinary_texts for i in range(0, len(t), _TRAIN_BYTES)]
-    try:
-        trained = zstandard.train_dictionary(_ORDINARY_BYTES, windows[:20000]).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: take the text itself
-        trained = b"".join(windows)[:_ORDINARY_BYTES]
-    content = _wide(content or b" ")
+    trained = _trained(_ORDINARY_BYTES, windows, b"".join(windows[:_ORDINARY_BYTES])[:_ORDINARY_BYTES])
     both = Dictionaries(content, trained)
     alike = [w for w in seen if both.saved(w) >= 2]
-    alike = sorted(alike, key=lambda w: (-seen[w], w))[:400]
+    alike = sorted(alike, key=lambda w: (-seen[w], w))[:_ALIKE]
     return Dictionaries(content, _wide(b" ".join(alike) + b" ") + trained)
 
 
@@ -243,8 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * sample)
         drawn = ids if drawn is None else drawn.unionByName(ids)
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     chosen = []
     for label in (0, 1):
         mine = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)

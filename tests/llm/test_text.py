@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
 
-from recspark.llm import byte_bpe, decontaminate, main_text, ngram_join, substrings, token_files, toxicity, worker
+from recspark.llm import byte_bpe, catalog, decontaminate, main_text, ngram_join, substrings, token_files, toxicity, worker
 
 EXTRA = "doc_id long, text string, row string, mark long, kept string, n long, token string"
 
@@ -218,7 +219,8 @@ def test_contaminated_finds_edited_items(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_toxicity_learns_and_scores():
+def toxic_rows(n, before=0):
+    """Texts, every fourth of them toxic, with some words put before each."""
     draw = random.Random(4)
     plain = ["".join(draw.choice(["th", "er", "an", "on", "in"]) for _ in range(draw.randint(1, 3))) for _ in range(400)]
     bad = ["grumpfo", "zaxxle", "vurmik"]
@@ -227,9 +229,13 @@ def test_toxicity_learns_and_scores():
         words = [draw.choice(plain) for _ in range(80)]
         for _ in range(3 if toxic else 0):
             words[draw.randrange(80)] = draw.choice(bad)
-        return " ".join(words)
+        return " ".join([*(draw.choice(plain) for _ in range(before)), *words])
+
+    return [(text(k % 4 == 0), int(k % 4 == 0)) for k in range(n)]
+
 
-    rows = [(text(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+def test_toxicity_learns_and_scores():
+    rows = toxic_rows(400)
     model = toxicity.fit_rows(rows[:300], 0.25)
     right = sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[300:])
     assert right >= 95
@@ -237,6 +243,34 @@ def test_toxicity_learns_and_scores():
     assert toxicity.fit_rows([("a", 0)], 0.0).score("a") == 0.0
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rows = toxic_rows(160, before=6000)
+    assert min(len(t) for t, _ in rows) > 20_000
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows[:120])], "doc_id long, toxic int"))
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[120:]) >= 36
+
+
+def test_toxicity_query_never_learns_from_held_out_labels(spark, tmp_path):
+    rows = toxic_rows(300)
+    held = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
+    docs = [(i, t, 9) for i, (t, _) in enumerate(rows)] + [(900, None, 1), (901, "", 1), (902, "long " * 40_000, 1), (5, rows[5][0], 1), (None, "x", 1)]
+    scores = []
+    for flipped in (False, True):
+        folder = str(tmp_path / str(flipped))
+        spark.createDataFrame(docs, "doc_id long, text string, toxic int").write.parquet(f"{folder}/documents.parquet")
+        labels = [(i, 1 - y if flipped and i in held else y) for i, (_, y) in enumerate(rows)]
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = catalog.QUERIES["op5_toxicity"](spark, folder).collect()
+        scores.append(sorted((r["doc_id"] or -1, r["score"]) for r in found))
+        assert len(found) == len(docs)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found if r["doc_id"] is not None)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
+    assert scores[0] == scores[1]
+    right = sum((dict(scores[0])[i] >= 0.5) == bool(rows[i][1]) for i in held)
+    assert right >= 0.9 * len(held)
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(frame(spark, [(1, "a")]), labels.where("toxic is null"))
