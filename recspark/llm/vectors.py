@@ -11,9 +11,12 @@ and vectors turned by just the threshold's angle.
 * A pair is counted in the first table where it meets, so no pair is ever written: each bucket gives sums per
   vector and a forest of its links.
 * A bucket over ``_BLOCK`` vectors is cut into blocks, and each pair of blocks is a group of its own.
+* Only vectors of one length are compared. Each length of over ``_FEW`` vectors has codes of its own; the vectors
+  of a rarer length share one bucket for each label, as do those of a length whose codes don't reach the recall:
+  they are compared in full, in blocks.
 
 Vectors link with nothing if they are null, empty, zero or hold a null or non-finite component, or if their
-label is null; nor do vectors that haven't the length that most have. Rows that repeat an id are further
+label is null. Rows that repeat an id are further
 members of it. Rows without an id give no result.
 """
 
@@ -34,11 +37,13 @@ from recspark.session import materialize
 COSINE, RECALL, SAMPLE = 0.98, 0.99, 20_000
 #: Vectors compared at once, turns of a rotation, vectors on which recall is measured, and tables at most.
 _BLOCK, _TURNS, _TRIALS, _MOST_TABLES = 1024, 30, 1000, 32
+#: Vectors of one length that are compared without codes.
+_FEW = 256
 
 
 @dataclass
 class Codes:
-    """Learned rotations; each gives a key for each of its tables."""
+    """Learned rotations; each gives a key for each of its tables. Without rotations all vectors share one key."""
 
     mean: np.ndarray
     turns: list[np.ndarray]
@@ -47,6 +52,8 @@ class Codes:
     tables: int
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
+        if not self.tables:
+            return np.zeros((len(unit), 1), np.int64)
         out = []
         weight = (1 << np.arange(self.bits, dtype=np.int64))[::-1]
         for turn, middle in zip(self.turns, self.middles, strict=True):
@@ -75,7 +82,7 @@ def _trials(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndar
 def learn(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Codes:
     """Rotations for ``rows`` vectors, from unit vectors of a sample, as many as reach the recall on it.
 
-    Keys get shorter where the most tables don't reach it.
+    Keys get shorter where the most tables don't reach it; where keys of two bits don't either, there is one bucket.
     """
     d = sample.shape[1]
     mean = sample.mean(axis=0)
@@ -109,7 +116,7 @@ def learn(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Codes:
             if min(found) >= recall:
                 return used
         if bits <= 2:
-            return used
+            return Codes(mean, [], [], 0, 0)
         bits -= 2
 
 
@@ -202,28 +209,33 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
     good = rows.where("label is not null").mapInArrow(_usable, "vec_id long, label string, d int, digest binary, data binary")
-    good = materialize(good, "vectors")
-    sizes = good.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    # vectors of another length are compared no more than those of another label
+    good = materialize(good.withColumn("label", F.concat_ws(":", "d", "label")), "vectors")
+    many = good.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") > _FEW).orderBy("d").collect()
     everyone = rows.select("vec_id")
-    if sizes is None:
-        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    d, n = sizes
-    good = good.where(F.col("d") == d)
     classes = materialize(good.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "vector-classes")
-    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= (1 << 20) * min(1.0, sample / n)).select("data").toArrow()
-    if not drawn.num_rows:
-        drawn = good.select("data").limit(1).toArrow()
-    codes = spark.sparkContext.broadcast(learn(_units(_matrix(drawn.column(0).combine_chunks(), d)), n, cosine, recall))
+    learned = {}
+    for d, n in many:
+        drawn = good.where(F.col("d") == d)
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= (1 << 20) * min(1.0, sample / n)
+        drawn = drawn.where(part).select("data").toArrow()
+        if drawn.num_rows:
+            learned[d] = learn(_units(_matrix(drawn.column(0).combine_chunks(), d)), n, cosine, recall)
+    codes = spark.sparkContext.broadcast(learned)
 
     def coded(batches):
         for batch in batches:
-            if batch.num_rows:
-                keys = codes.value.keys(_units(_matrix(batch.column(3), d)))
+            lengths = np.array(batch.column(3).to_pylist(), np.int64)
+            for d in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == d))
+                known = codes.value.get(d)
+                keys = known.keys(_units(_matrix(part.column(4), d))) if known else np.zeros((part.num_rows, 1), np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["label", "rep", "members", "data", "keys"])
+                columns = [*(part.column(c) for c in (0, 1, 2, 4)), flat]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "rep", "members", "data", "keys"])
 
-    first = good.select("label", "digest", F.col("vec_id").alias("rep"), "data").join(classes, ["label", "digest", "rep"])
-    first = first.dropDuplicates(["label", "digest"]).select("label", "rep", "members", "data")
+    first = good.select("label", "digest", F.col("vec_id").alias("rep"), "d", "data").join(classes, ["label", "digest", "rep"])
+    first = first.dropDuplicates(["label", "digest"]).select("label", "rep", "members", "d", "data")
     first = materialize(first.mapInArrow(coded, "label string, rep long, members long, data binary, keys array<long>"), "vector-codes")
     index = first.select("label", "rep", "members", "data", "keys", F.posexplode("keys").alias("table", "key"))
     full = index.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK)

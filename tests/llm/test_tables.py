@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
@@ -35,6 +36,7 @@ def test_components(spark):
 
 def test_near_vectors_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_BLOCK", 16)
+    monkeypatch.setattr(vectors, "_FEW", 20)
     draw = np.random.default_rng(2)
     rows = []
     for g in range(12):
@@ -60,6 +62,40 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def all_pairs(rows, cosine=0.98):
+    """Links of each vector by comparing all of one label and length."""
+    unit = {i: (len(v), label, np.array(v) / np.linalg.norm(v)) for i, v, label in rows}
+    return {i: sum(j != i and unit[j][:2] == (d, label) and float(unit[j][2] @ x) >= cosine for j in unit) for i, (d, label, x) in unit.items()}
+
+
+def test_near_vectors_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_FEW", 30)
+    draw = np.random.default_rng(3)
+    rows = [(0, [1.0, 2.0, 3.0], 0), (1, [1.0, 2.0, 3.0], 0), (2, [2.0, 4.0, 6.0], 0), (3, [1.0, 2.0, 3.0], 1), (4, [1.0, 2.0], 0)]
+    for d, groups in ((4, 8), (16, 20), (24, 2)):
+        for _ in range(groups):
+            base = draw.standard_normal(d)
+            rows += [(len(rows) + k, (base + 0.02 * draw.standard_normal(d)).tolist(), 0) for k in range(5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("d", F.lit(7)).withColumn("data", F.lit("x"))
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame.repartition(3)).collect()}
+    want = all_pairs(rows)
+    assert [got[i]["n_links"] for i in range(5)] == [2, 2, 2, 0, 0]
+    assert got[2]["component_id"] == 0 and got[3]["kept"] and got[4]["kept"]
+    assert all(got[i]["n_links"] == want[i] for i, v, _ in rows if len(v) in (3, 24))  # few of a length: compared in full
+    assert all(got[i]["n_links"] <= want[i] for i in want)
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(want.values())
+
+
+def test_near_vectors_compare_in_full_where_codes_miss_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_FEW", 10)
+    monkeypatch.setattr(vectors, "_BLOCK", 8)
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.standard_normal(3).tolist(), i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(frame, recall=1.1).collect()}
+    assert got == all_pairs(rows)
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "http://a", "x"), (2, None, None), (3, "u", ""), (5, "v", "é"), (4, "w", "é"), (None, "w", "é"), (None, "q", "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
