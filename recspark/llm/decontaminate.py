@@ -8,7 +8,8 @@ as long as an item; what they retrieve is verified by the exact edit distance.
 
 Only windows that can match are walked: with at most ``k`` edits, an item of ``n`` words leaves a run of
 ``(n - k) / (k + 1)`` words untouched, so some words in a row (up to three) stand in both. The windows are
-those that line such a run up with its place in the item.
+those that line such a run up with its place in the item. Where the most walks don't reach the target recall, all of
+these windows are verified with the items that they line up with, which misses nothing.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. Items are read in blocks of bounded size.
 Null or empty texts contain nothing, and items without words are in nothing. Items of any other length are
@@ -112,8 +113,8 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
 
 
-def windows_of(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (start, length) of the windows that line up a run with its place in an item."""
+def windows_of(items: Items, hashes: np.ndarray, first: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (start, length) of the windows that line up a run with its place in an item; with ``each`` (start, item)."""
     found = []
     for size, (holds, value, item, place) in items.runs.items():
         gram, whole = grams(hashes, first, size)
@@ -122,7 +123,7 @@ def windows_of(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np.
         row, pos = _expand(np.searchsorted(value, gram[at], "left"), np.searchsorted(value, gram[at], "right"))
         doc = np.searchsorted(first, at[row], "right") - 1
         start = np.maximum(at[row] - place[pos], first[doc])
-        found.append(start << 24 | items.lengths[item[pos]])
+        found.append(start << 24 | (item[pos] if each else items.lengths[item[pos]]))
     both = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
     return both >> 24, both & 0xFFFFFF
 
@@ -185,7 +186,10 @@ def _edited(words: list[bytes], k: int, draw: random.Random) -> list[bytes]:
 
 
 def walks_for(items: Items, recall: float) -> int:
-    """Walks that retrieve ``recall`` of copies with as many edits as allowed, measured on the items that allow any."""
+    """Walks that retrieve ``recall`` of copies with as many edits as allowed, measured on the items that allow any.
+
+    0 if the most walks don't reach it.
+    """
     draw = random.Random(7)
     edited = [j for j, n in enumerate(items.lengths.tolist()) if allowed(n, items.percent)]
     if not edited:  # a copy has the keys of its item in any walk
@@ -201,7 +205,7 @@ def walks_for(items: Items, recall: float) -> int:
         found[doc[hit]] = True
         if found.mean() >= recall:
             return walk + 1
-    return _MOST_WALKS
+    return 0
 
 
 def prepare(rows: list[tuple[int, str | None]], percent: int = PERCENT, recall: float = RECALL) -> Items | None:
@@ -232,7 +236,10 @@ def _cut(words: Words, a: int, b: int) -> list[bytes]:
 
 def _search(items: Items, part: pa.RecordBatch) -> pa.RecordBatch:
     words = words_of(part.column(1), lower=True)
-    start, item = retrieve(items, words.hashes(), words.first, range(items.walks))
+    if items.walks:
+        start, item = retrieve(items, words.hashes(), words.first, range(items.walks))
+    else:
+        start, item = windows_of(items, words.hashes(), words.first, each=True)
     docs = part.column(0).to_pylist()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for s, j in zip(start.tolist(), item.tolist(), strict=True):

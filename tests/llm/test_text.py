@@ -219,6 +219,40 @@ def test_contaminated_finds_edited_items(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_contaminated_misses_nothing_where_walks_miss_the_recall(spark):
+    draw = random.Random(12)
+    bench, docs = [], []
+    for i in range(20):
+        words = [f"b{draw.randrange(60)}" for _ in range(draw.randint(3, 30))]
+        bench.append((i, " ".join(words)))
+        for k in range(6):
+            copy = list(words)
+            for _ in range(k):
+                at = draw.randrange(len(copy))
+                copy[at : at + draw.randrange(2)] = [f"b{draw.randrange(60)}"] * draw.randrange(2)
+                copy = copy or ["b0"]
+            docs.append((len(docs), " ".join([f"b{draw.randrange(60)}" for _ in range(draw.randrange(9))] + copy + ["end"])))
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)  # a match may begin anywhere
+        for i, w in enumerate(item, 1):
+            before, row = row, [i]
+            for j, x in enumerate(text, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (w != x)))
+        return min(row)
+
+    want = set()
+    for d, text in docs:
+        for i, item in bench:
+            item = item.split()
+            if least(item, text.split()) <= decontaminate.allowed(len(item)):
+                want.add((d, i))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, docs), items, recall=1.1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert len(want) > 60
+
+
 def toxic_rows(n, before=0):
     """Texts, every fourth of them toxic, with some words put before each."""
     draw = random.Random(4)
