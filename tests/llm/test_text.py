@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from recspark.llm import byte_bpe, catalog, decontaminate, main_text, ngram_join, substrings, token_files, toxicity, worker
 
@@ -317,10 +318,10 @@ PAGE = """<html><body><header><h1>Site</h1></header><nav>x</nav><div class="cook
 
 
 def test_main_text_of_a_page():
-    assert main_text.chosen_text(PAGE, None) == "Ti & tle\nOne two three\nNext link.\na\nb"
-    assert main_text.chosen_text("plain &lt;b&gt;", None) == "plain <b>"
+    assert main_text.chosen_text(PAGE) == "Ti & tle\nOne two three\nNext link.\na\nb"
+    assert main_text.chosen_text("plain &lt;b&gt;") == "plain <b>"
     for page in ("", None, "<p", "<div title='a", "<script>x"):
-        assert main_text.chosen_text(page, None) == ""
+        assert main_text.chosen_text(page) == ""
 
 
 def test_main_text_follows_its_host(spark):
@@ -334,6 +335,75 @@ def test_main_text_follows_its_host(spark):
     assert len(found) == 12
 
 
+LONG = "a sentence of the article with enough words to count"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p></article>', f"Title\n{LONG}"),
+        (f'<article><p>{LONG}</p><section id="share-price"><p>up</p></section></article>', f"{LONG}\nup"),
+        (f'<article><p class="search-term">who</p><p>{LONG}</p></article>', f"who\n{LONG}"),
+        (f'<article><div class="alert-free-intro">intro</div><p>{LONG}</p></article>', f"intro\n{LONG}"),
+        (f'<body class="has-sidebar"><div class="main with-sidebar"><p>{LONG}</p></div><div class="left sidebar">x</div></body>', LONG),
+        (f"<body><div><p>{LONG} 1</p></div><div><p>{LONG} 2</p></div><nav>n</nav></body>", f"{LONG} 1\n{LONG} 2"),
+        (f"<body><article><p>{LONG} 1</p></article><article><p>{LONG} 2</p></article></body>", f"{LONG} 1\n{LONG} 2"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'>s</div><div class='cookie-notice'>c</div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='related-news'><a href=x>one link</a> <a href=y>and two</a></div></article>", LONG),
+        (f'<article><p>{LONG}</p><div class="w-1/2"><p>x</p></div></article>', f"{LONG}\nx"),
+    ],
+)
+def test_main_text_keeps_the_article_whole(page, text):
+    assert main_text.chosen_text(page) == text
+
+
+def test_main_text_by_votes_against_plain_python(spark):
+    draw = random.Random(6)
+    rows = []
+    for k in range(90):
+        article = " ".join(f"w{draw.randrange(900)}" for _ in range(draw.choice([2, 30, 60])))
+        other = " ".join(f"v{draw.randrange(900)}" for _ in range(draw.choice([1, 4, 12])))
+        shape = draw.randrange(4)
+        inner = f"<div class=story><p>{article}</p><p class='share-this'>Tell all your friends</p></div><div class=box><p>{other}</p></div>"
+        if shape == 0:
+            inner = f"<main><article><p>{article}</p></article></main><div class=box{k}>{other}</div>"
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<html><body>{inner}</body></html>"))
+    rows += [(k + 100, u, h) for k, u, h in rows[:5]] + [(200, None, None), (201, "x", ""), (202, None, "<p>bare</p>"), (202, None, "<p>bare</p>")]
+    schema = "page_id long, url string, html string"
+    frame_ = spark.createDataFrame(rows, schema).withColumn("host", F.lit("clash")).withColumn("won", F.lit(1)).withColumn("text", F.lit("t"))
+    got = main_text.main_texts(frame_.repartition(5))
+    assert got.columns == ["page_id", "url", "text"]
+    got = sorted((r["page_id"], r["text"]) for r in got.collect())
+
+    hosts = {}
+    for _, url, html in rows:
+        blocks = main_text.blocks_of(html) if html else []
+        if blocks:
+            hosts.setdefault((url or "").split("/")[2] if "://" in (url or "") else "", []).append(blocks)
+    want, changed = [], 0
+    for k, url, html in rows:
+        pages = hosts.get((url or "").split("/")[2] if "://" in (url or "") else "", [])
+        cast = [main_text.best_path(b) for b in pages]
+        won = [(p, cast.count(p)) for p in set(cast) if 10 * cast.count(p) >= len(pages)]
+        seen = {}
+        for b in pages:
+            for name, digest in main_text.small_parts(b).items():
+                seen.setdefault(name, set()).add((digest, tuple(x.text for x in b)))
+        gone = [n for n, s in seen.items() if len(s) >= 3 and 10 * len(s) >= len(pages) and 2 * len({d for d, _ in s}) <= len(s)]
+        blocks = main_text.blocks_of(html) if html else []
+        small = main_text.small_parts(blocks)
+        blocks = [b for b in blocks if not (b.named in gone and b.named in small)]
+        score = main_text.scores(blocks)
+        value = {p: n * score[p] for p, n in won if p in score}
+        path = max(value, key=lambda p: (value[p], p)) if value else main_text.best_path(blocks)
+        text = "" if path is None else "\n".join(b.text for b in blocks if b.box == path or b.box.startswith(path + "/"))
+        want.append((k, text))
+        changed += text != main_text.chosen_text(html)
+    assert got == sorted(want)
+    assert changed >= 10  # the host's pages decide
+    assert main_text.main_texts(frame_.limit(0)).count() == 0
+
+
 def test_token_blocks_round_trip():
     draw = np.random.default_rng(1)
     for vocabulary in (2, 300, 70_000):
