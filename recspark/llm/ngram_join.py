@@ -227,7 +227,11 @@ def _pair_batch(a, b):
 
 
 def _across(percent: int):
-    """Pairs of members of different components that their sizes and sketches let link, with the places of the shingle."""
+    """Pairs of members of different components that their sizes and sketches let link, with the places of the shingle.
+
+    Members of the largest component are compared with the others alone, so ``m`` near copies and ``k`` others take
+    about ``m * k`` comparisons.
+    """
 
     def pairs(batches):
         names = ["doc_id", "n", "component", "matches", "place", "length", "last", *_SKETCH]
@@ -240,9 +244,18 @@ def _across(percent: int):
             sketch = np.stack(odd, axis=1)
             stop = np.searchsorted(size, size * 100 // percent, "right")
             last = last.view(np.uint64)
-            for i in range(len(doc) - 1):
-                other = np.arange(i + 1, stop[i])
-                other = other[component[other] != component[i]]
+            value, members = np.unique(component, return_counts=True)
+            inside = component == value[members.argmax()]
+            rest = np.flatnonzero(~inside)
+            low, high = np.searchsorted(rest, np.arange(len(doc)), "right"), np.searchsorted(rest, stop)
+            for i in np.flatnonzero(~inside | (low < high)).tolist():
+                if inside[i]:
+                    other = rest[low[i] : high[i]]
+                else:
+                    other = np.arange(i + 1, stop[i])
+                    other = other[component[other] != component[i]]
+                if not len(other):
+                    continue
                 may = allowed(size[i], size[other], percent)
                 close = _unshared(sketch, i, other) <= may
                 other, may = other[close], may[close]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -114,6 +115,34 @@ def test_odd_sketches_never_show_more_than_is_unshared():
             assert all(shown[j] <= len(np.setxor1d(one, other)) for j, other in enumerate(sets))
 
 
+@pytest.mark.parametrize("outsiders", [1, 5])
+def test_members_of_the_largest_component_are_compared_with_others_alone(monkeypatch, outsiders):
+    draw, m = np.random.default_rng(outsiders), 400
+    n = m + outsiders
+    component = np.where(np.arange(n) < m, 0, np.arange(n))
+    sizes = draw.integers(90, 111, n)
+    columns = {"token": np.full(n, 7), "doc_id": draw.permutation(n), "n": sizes, "component": component, "matches": np.ones(n, int)}
+    columns |= {"place": np.zeros(n, int), "length": np.full(n, 20), "last": draw.integers(1, 1 << 40, n)}
+    columns |= {c: np.zeros(n, int) for c in ngram_join._SKETCH}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in columns.items()})
+    compared, unshared = [], ngram_join._unshared
+
+    def counted(sketch, i, other):
+        compared.append(len(other))
+        return unshared(sketch, i, other)
+
+    monkeypatch.setattr(ngram_join, "_unshared", counted)
+    found = {frozenset(p) for b in ngram_join._across(80)([batch]) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    doc, want = columns["doc_id"].tolist(), set()
+    for i in range(n):
+        for j in range(max(i + 1, m), n):
+            small, large = sorted((sizes[i], sizes[j]))
+            if 100 * small >= 80 * large:
+                want.add(frozenset((doc[i], doc[j])))
+    assert found == want
+    assert sum(compared) <= m * outsiders + outsiders**2
+
+
 def test_near_duplicate_groups_of_nothing(spark):
     assert ngram_join.near_duplicate_groups(frame(spark, [])).count() == 0
     assert ngram_join.near_duplicate_groups(frame(spark, [(None, "a b c d")])).first()["component_id"] is None
