@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions import draws
 from recspark.session import materialize
 
 
+#: Trusted users in one array of options, about; a node that trusts more users has several arrays.
+CHUNK = 64
+
+
 def stop_factor(hop: int) -> float:
     """``1 / (1 + e^(-hop/2))``: the later the hop, the likelier a stop."""
     return 1.0 / (1.0 + math.exp(-hop / 2.0))
@@ -83,6 +87,44 @@ def stop_probability(
     )
 
 
+def _parted(edges: DataFrame) -> DataFrame:
+    """``(node, dst, part)``: the edges of each node in parts of about ``CHUNK``, by a hash of the trusted user."""
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(CHUNK)))
+    return edges.join(degrees, "src").select(F.col("src").alias("node"), "dst", part.alias("part"))
+
+
+def walk_options(walks: DataFrame, parted: DataFrame, reviews: DataFrame, item_sim: DataFrame) -> DataFrame:
+    """``(node, target_item, part, options)``: the users that a walk at ``node`` can go to, with their best match.
+
+    Made once for each distinct ``(node, target_item)``, however many walks and runs are there. A node without a trusted
+    user who has a resembling item has no row.
+    """
+    moves = materialize(walks.select("node", "target_item").distinct().join(parted, "node"), "moves")
+    match = best_match(moves, reviews, item_sim)
+    return (
+        moves.join(match, ["dst", "target_item"])
+        .groupBy("node", "target_item", "part")
+        .agg(F.collect_list(F.struct("dst", "sim", "rating")).alias("options"))
+    )
+
+
+def _drawn(walks: DataFrame, options: DataFrame, seed: int, hop: int) -> DataFrame:
+    """Walks with ``c``, the option of the smallest ticket; those without one are left out.
+
+    A walk meets one row for each part of its node, one in all where the node trusts at most ``CHUNK`` users.
+    """
+    open_ = F.filter("options", lambda o: F.col("avoid").isNull() | (o["dst"] != F.col("avoid")))
+
+    def ticketed(o: Column) -> Column:
+        t = draws.ticket(seed, "origin", "target_item", "run", "trail", F.lit(hop), o["dst"])
+        return F.struct(t.alias("t"), o["dst"].alias("dst"), o["sim"].alias("sim"), o["rating"].alias("rating"))
+
+    key = ["origin", "idx", "target_item", "run", "node", "trail"]
+    met = walks.join(options, ["node", "target_item"]).select(*key, F.array_min(F.transform(open_, ticketed)).alias("c"))
+    return met.where(F.col("c").isNotNull()).groupBy(*key).agg(F.min("c").alias("c"))
+
+
 def trust_walk(
     edges: DataFrame,
     targets: DataFrame,
@@ -95,7 +137,8 @@ def trust_walk(
 ) -> DataFrame:
     """Walk log ``(origin, idx, target_item, run, hop, node, rating)``, one row per step.
 
-    All walks of all origins, targets and runs move together, one join per hop. A step goes
+    All walks of all origins, targets and runs move together, one join per hop, with the options of
+    their nodes as arrays: a hop has as many rows as walks, not as walks and edges. A step goes
     to a uniformly drawn trusted user who has an item resembling the target; it stops there
     with the stop probability, or at the last hop if that is not the first, and then carries
     that user's rating. ``rating`` is null while a walk goes on. Walks without a next user end
@@ -116,6 +159,7 @@ def trust_walk(
         F.lit(None).cast(targets.schema["user_id"].dataType).alias("avoid"),
         F.lit("").alias("trail"),
     )
+    parted = materialize(_parted(edges), "parted-edges")
     log: DataFrame | None = None
     for hop in range(k_steps + 1):
         if hop > 0 and credit == "last_hop":
@@ -129,19 +173,9 @@ def trust_walk(
                 "avoid",
                 "trail",
             )
-        moves = walks.join(edges.withColumnRenamed("src", "node"), "node").where(
-            F.col("avoid").isNull() | (F.col("dst") != F.col("avoid"))
-        )
-        moves = materialize(moves, "moves") if hop > 0 else moves
-        match = best_match(moves, reviews, item_sim)
-        choice = F.struct(
-            draws.ticket(seed, "origin", "target_item", "run", "trail", F.lit(hop), "dst").alias("t"), "dst", "sim", "rating"
-        )
-        drawn = (
-            moves.join(match, ["dst", "target_item"])
-            .groupBy(*walk_key, "node", "trail")
-            .agg(F.min(choice).alias("c"))
-        )
+        # written first, so that the join can split the walks of a hot node
+        options = materialize(walk_options(walks, parted, reviews, item_sim), "walk-options")
+        drawn = _drawn(walks, options, seed, hop)
         chance = F.col("c.sim") * stop_factor(hop)
         stops = draws.uniform(seed, F.lit("stop"), "origin", "target_item", "run", "trail", F.lit(hop)) < chance
         if hop > 0 and hop == k_steps:

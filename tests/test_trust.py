@@ -1,5 +1,6 @@
 """Trust walks: hand-checked values, brute force and invariants."""
 
+import hashlib
 import random
 
 import pytest
@@ -83,6 +84,63 @@ def test_walk_invariants(spark):
             assert per_walk.where("count > 1").isEmpty()
 
 
+def plain_walk(edges, targets, reviews, sims, k_steps, runs, seed, credit):
+    """The walk log by loops over single walks."""
+    md5 = lambda *parts: hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
+    log = []
+    for origin, idx, item in targets:
+        for run in range(1, runs + 1):
+            walks = [(origin, idx, item, origin, None, "")]
+            for hop in range(k_steps + 1):
+                if hop and credit == "last_hop":
+                    walks = [(n, i, own, n, a, t) for _, i, _, n, a, t in walks for u, j, own in targets if (u, j) == (n, i)]
+                after = []
+                for o, i, target, node, avoid, trail in walks:
+                    best = []
+                    for src, dst in edges:
+                        found = [(-v, x, r) for (tt, x), v in sims.items() if tt == target for u, y, r in reviews if (u, y) == (dst, x)]
+                        if src == node and dst != avoid and found:
+                            best.append((md5(seed, o, target, run, trail, hop, dst), dst, -min(found)[0], min(found)[2]))
+                    if not best:
+                        continue
+                    _, dst, sim, rating = min(best)
+                    u = int(md5(seed, "stop", o, target, run, trail, hop)[:8], 16) / 2**32
+                    stops = u < sim * trust_walk.stop_factor(hop) or 0 < hop == k_steps
+                    log.append((o, i, target, run, hop, dst, rating if stops else None))
+                    if not stops:
+                        further = f"{trail}/{node}" if credit == "last_hop" else trail
+                        after.append((o, i, target, dst, o if credit == "origin" else node, further))
+                walks = after
+    return sorted(log, key=str)
+
+
+@pytest.mark.parametrize("credit", ["origin", "last_hop"])
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_walk_against_plain_python(spark, monkeypatch, credit, chunk):
+    """Nodes of many trusted users, in one array or several; a hop meets a row for each walk and part."""
+    rng = random.Random(8)
+    edges = sorted({(a, rng.randrange(25)) for a in range(25) for _ in range(9)} - {(a, a) for a in range(25)})
+    reviews = [(u, f"i{i}", float(rng.randint(1, 5))) for u in range(25) for i in rng.sample(range(20), 5)]
+    targets = [(u, k, f"i{rng.randrange(20)}") for u in range(0, 25, 2) for k in (1, 2)]
+    sims = {(t, f"i{i}"): rng.randint(1, 9) / 9 for t in {t for *_, t in targets} for i in rng.sample(range(20), 7)}
+    met, plain = [], trust_walk._drawn
+    monkeypatch.setattr(trust_walk, "CHUNK", chunk)
+    monkeypatch.setattr(trust_walk, "_drawn", lambda walks, options, *a: met.append((walks, options)) or plain(walks, options, *a))
+    log = trust_walk.trust_walk(
+        spark.createDataFrame(edges, "src bigint, dst bigint"),
+        spark.createDataFrame(targets, "user_id bigint, idx bigint, item_id string"),
+        spark.createDataFrame(reviews, "user_id bigint, item_id string, rating double"),
+        spark.createDataFrame([(t, i, v) for (t, i), v in sims.items()], "target_item string, item string, sim double"),
+        k_steps=3, runs=3, seed=4, credit=credit,
+    )
+    got = sorted([tuple(r) for r in log.select("origin", "idx", "target_item", "run", "hop", "node", "rating").collect()], key=str)
+    want = plain_walk(edges, targets, reviews, sims, 3, 3, 4, credit)
+    assert got == want and {r[4] for r in want} == {0, 1, 2, 3}
+    for walks, options in met:
+        rows, n = walks.join(options, ["node", "target_item"]).count(), walks.count()
+        assert rows <= n if chunk == 64 else n < rows <= 9 * n
+
+
 def test_khop_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src bigint, dst bigint")
     seeds = spark.createDataFrame([(1,)], "user_id bigint")
