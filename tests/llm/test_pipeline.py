@@ -1,9 +1,12 @@
 """Stages of the pipeline against plain Python, on planted documents."""
 
+import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from recspark.llm import catalog
+from recspark.llm import catalog, decontaminate
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,6 +59,135 @@ def test_near_copies_go_at_five_words_and_four_fifths(spark):
     assert kept != kept_of_near(rows, 3, 90)
 
 
+#: Further columns, called as the stages call theirs.
+CLASHING = "row string, kept string, mark long, n_removed long, component_id long, score double, toxic int, ids binary, node long"
+EXTRAS = ("r", "k", 7, 8, 9, 0.5, 1, b"i", 3)
+
+
+def planted(seed):
+    """``(documents, labels, items)``, documents as ``(doc_id, text)``."""
+    draw = random.Random(seed)
+    plain = ["".join(draw.choice(["th", "er", "an", "on", "in"]) for _ in range(draw.randint(1, 4))) for _ in range(600)]
+    words = lambda n: [draw.choice(plain) for _ in range(n)]
+    docs, labels = [], []
+    for i in range(320):
+        text = words(80)
+        if i % 4 == 0:
+            for k in draw.sample(range(80), 3):
+                text[k] = draw.choice(["grumpfo", "zaxxle", "vurmik"])
+        docs.append((i, " ".join(text)))
+        if i < 240:
+            labels.append((i, int(i % 4 == 0)))
+    for k in range(12):  # copies with one or two words replaced, two of them of one text
+        copy = docs[241 + 4 * (k // 2)][1].split()
+        for at in draw.sample(range(80), 1 + k % 2):
+            copy[at] = f"other{k}"
+        docs.append((400 + k, " ".join(copy)))
+    passage, items = words(60), [words(n) for n in (15, 24, 40)]
+    for k in range(4):
+        docs.append((500 + k, " ".join(words(90) + passage + words(90))))
+    for k, item in enumerate(items * 2):
+        edited = list(item)
+        if k >= 3:
+            edited[5] = "edited"
+        docs.append((600 + k, " ".join(words(120) + edited + words(120))))
+    docs += [(700, None), (701, ""), (702, " \t\n"), (703, " ".join(words(20_000))), (704, "alone"), (705, "Alone"), (706, "one  two\tthree ")]
+    docs += [docs[7], docs[9], (9, "again another text"), (None, docs[11][1]), (None, None)]
+    bench = [(j, " ".join(x)) for j, x in enumerate(items)] + [(9, None), (10, ""), (None, docs[13][1])]
+    return docs, labels + [(1, None), (None, 1)], bench
+
+
+def without_passages(rows, window=13):
+    texts = [(i, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in texts:
+        if i is not None:
+            for k in range(len(w) - window + 1):
+                g = tuple(w[k : k + window])
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for (i, w), (_, t) in zip(texts, rows):
+        gone = {k + j for k in range(len(w) - window + 1) if i is not None and first[tuple(w[k : k + window])] < i for j in range(window)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    return out
+
+
+def leaked(rows, bench):
+    """Ids of documents with an item of which at most a fifth is edited, by dynamic programming over whole texts."""
+    ids = set()
+    for i, t in rows:
+        for j, item in bench:
+            item, text = (item or "").lower().split(), np.array((t or "").lower().split(), object)
+            if i is None or j is None or not item or not len(text):
+                continue
+            row = np.zeros(len(text) + 1, int)  # a match may begin anywhere
+            at = np.arange(len(text) + 1)
+            for n, w in enumerate(item, 1):
+                new = np.append(n, np.minimum(row[1:] + 1, row[:-1] + (text != w)))
+                row = np.minimum.accumulate(new - at) + at
+            if row.min() <= decontaminate.allowed(len(item)):
+                ids.add(i)
+    return ids
+
+
+def test_stages_against_plain_python_on_planted_documents(spark, tmp_path):
+    docs, labels, bench = planted(6)
+    folder = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    schema = f"{COLUMNS}, {CLASHING}"
+
+    def through(stage, rows):
+        table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *EXTRAS) for i, t in rows], schema).repartition(4)
+        found = stage(spark, table, folder)
+        assert found.schema == table.schema
+        got = found.collect()
+        assert all(r["n_chars"] == len(r["text"] or "") and tuple(r)[5:] == EXTRAS for r in got)
+        return sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+
+    order = lambda rows: sorted(rows, key=str)
+    toxic = {i for i in range(0, 320, 4)}
+    rows = through(corpus_pipeline.without_toxic, docs)
+    kept = {i for i, _ in rows}
+    assert set(rows) <= set(docs) and {i for i, _ in docs} - toxic <= kept and len(toxic & kept) <= 4
+    assert [rows.count(r) for r in docs if r[0] not in toxic] == [docs.count(r) for r in docs if r[0] not in toxic]
+
+    # two rows share the id 9, so a link of either counts; brute force sees one text for each id
+    near = kept_of_near([r for r in rows if r[0] is not None and r[1] != "again another text"])
+    before, rows = rows, through(corpus_pipeline.without_near_copies, rows)
+    assert rows == order(r for r in before if r[0] is None or r[0] in near)
+    assert not {i for i, _ in rows} & set(range(400, 412, 2)) and 704 in near and 705 not in near
+
+    before, rows = rows, through(corpus_pipeline.without_repeated_passages, rows)
+    assert rows == order(without_passages(before))
+    assert {i: len(t.split()) for i, t in rows if i in range(500, 504)} == {500: 240, 501: 180, 502: 180, 503: 180}
+
+    gone = leaked(rows, bench)
+    before, rows = rows, through(corpus_pipeline.without_leaks, rows)
+    assert rows == order(r for r in before if r[0] not in gone)
+    assert {600, 601, 602} <= gone and gone <= set(range(600, 606))
+
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *EXTRAS) for i, t in rows], schema)
+    found = corpus_pipeline.encoded(spark, table, folder).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert order((r["doc_id"], r["decoded_sha256"]) for r in found) == order((i, digest(t)) for i, t in rows)
+    assert all(r["n_tokens"] == 0 for r in found if r["decoded_sha256"] == digest(""))
+
+
+def test_stages_of_no_documents(spark, tmp_path):
+    folder, schema = str(tmp_path), f"{COLUMNS}, {CLASHING}"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, none, folder)
+        assert found.schema == none.schema and found.count() == 0, name
+    assert corpus_pipeline.encoded(spark, none, folder).count() == 0
+    some = spark.createDataFrame([(1, "a b", "en", "s", 3, *EXTRAS), (1, None, None, None, None, *EXTRAS)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(str, stage(spark, some, folder).collect())) == sorted(map(str, some.collect())), name
+
+
 def test_queries_without_twin_run(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.SQL_TWINS)):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
