@@ -246,8 +246,7 @@ _tokens: dict[str, list[bytes]] = {}
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
-    """One coder for each worker and rank file, dropped when another operator claims the worker."""
-    worker.claim("byte_bpe", _coders.clear)
+    """One coder for each worker and rank file; a task that uses it claims the worker."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = ByteBpe(path, pattern)
     return _coders[path, pattern]
@@ -260,15 +259,22 @@ def tokens(path: str) -> list[bytes]:
     return _tokens[path]
 
 
+def _forget() -> None:
+    _coders.clear()
+    _tokens.clear()
+
+
 def encode_texts(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id, ids``: the ids of each text as little-endian unsigned 32-bit numbers."""
 
     def encode(batches):
-        bpe = coder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        with worker.task("byte_bpe", _forget):
+            bpe = coder(path, pattern)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            del bpe
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
 
@@ -291,10 +297,11 @@ def decode_ids(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded`` of the rows of `encode_texts`."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield _decoded(part.column(0), part.column(1).to_pylist(), tokens(path))
+        with worker.task("byte_bpe", _forget):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    yield _decoded(part.column(0), part.column(1).to_pylist(), tokens(path))
 
     return encoded.mapInArrow(run, f"doc_id long, {_DECODED}")
 
@@ -303,12 +310,14 @@ def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = public_tokeniz
     """`decode_ids` of `encode_texts`, in one worker a task: ids are decoded where they were made."""
 
     def run(batches):
-        bpe = coder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                for at in range(0, len(ids), 512):
-                    yield _decoded(part.column(0).slice(at, 512), ids[at : at + 512], bpe.token).drop_columns(["decoded"])
+        with worker.task("byte_bpe", _forget):
+            bpe = coder(path, pattern)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                    for at in range(0, len(ids), 512):
+                        yield _decoded(part.column(0).slice(at, 512), ids[at : at + 512], bpe.token).drop_columns(["decoded"])
+            del bpe
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, f"doc_id long, {_DECODED.rpartition(',')[0]}")

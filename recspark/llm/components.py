@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm import worker
 from recspark.session import materialize
 
 _HELD = 1 << 18
@@ -58,7 +59,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     grows and a hub's rows can be split in the joins.
     """
     a, b = (edges[c].cast("long") for c in edges.columns)
-    now = edges.select(a.alias("u"), b.alias("v")).where("u <> v").mapInArrow(_thin, "u long, v long")
+    now = edges.select(a.alias("u"), b.alias("v")).where("u <> v").mapInArrow(worker.trimmed(_thin), "u long, v long")
     now = materialize(now.distinct(), "components")
     seen = _state(now)
     while seen[0]:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm import worker
 from recspark.llm.words import HashSet, Words, grams, mix, slices, words_of
 
 PERCENT, RECALL = 80, 0.97
@@ -267,7 +268,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     blocks = 1 + size // _BLOCK_BYTES
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, distance long, end_word long, item_words long"
-    found = spark.createDataFrame([], schema)
+    # made by the executors themselves: an empty list would start Python workers of its own
+    found = spark.range(0).select(*[F.col("id").alias(c.split()[0]) for c in schema.split(", ")])
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         ready = prepare([tuple(r) for r in mine.collect()], percent, recall)
@@ -279,6 +281,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
                     for part in slices(batch, "text"):
                         yield _search(shared.value, part)
 
-            found = found.unionByName(rows.mapInArrow(search, schema))
+            found = found.unionByName(rows.mapInArrow(worker.trimmed(search), schema))
     match = F.min(F.struct("distance", "end_word", "item_words")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(match).select("doc_id", "item_id", "m.*")

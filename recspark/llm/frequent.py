@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm import worker
 from recspark.llm.words import HashSet, grams, slices, words_of
 from recspark.session import materialize
 
@@ -58,7 +59,7 @@ def frequent_grams(docs: DataFrame, sizes: tuple[int, ...], lower: bool) -> tupl
                 size, gram, n = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(gram), pa.array(n)], ["size", "gram", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "size long, gram long, n long")
+    counted = docs.select("text").mapInArrow(worker.trimmed(count), "size long, gram long, n long")
     table = materialize(counted.groupBy("size", "gram").agg(F.sum("n").alias("n")), "frequent")
     total = table.where("size = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = table.where((F.col("size") > 0) & (F.col("n") >= F.lit(total * SHARE))).toArrow()

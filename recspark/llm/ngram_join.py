@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm import worker
 from recspark.llm.components import connected_components
 from recspark.llm.frequent import SHARE, Frequent, frequent_grams
 from recspark.llm.words import grams, mix, slices, words_of
@@ -41,6 +42,8 @@ SHINGLE, PERCENT = 3, 90
 #: Longest extension of a prefix, and the cost of verifying one candidate, in prefix entries read.
 _MAX_MATCHES, _VERIFY_COST = 4, 8
 _PAIRS = 1 << 16
+#: Bytes of text whose words and shingles are in memory at a time.
+_SLICE = 2 << 20
 #: Leaders that a shingle's members are tried with, by size.
 _LEADERS = 4
 #: Partners that are verified beside one copy of a text, and rows up to which a table of ids is broadcast.
@@ -130,7 +133,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 out = [], [], [], [], []
                 for ranked in shingle_sets(part.column(1), size, shared.value):
                     matches, prefix = prefix_of(ranked, percent, shared.value)
@@ -148,7 +151,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     kinds = "doc_id long, n long, digest binary, matches int, prefix array<long>" + "".join(f", {c} long" for c in _SKETCH)
-    return materialize(rows.mapInArrow(sign, kinds), "signatures")
+    return materialize(rows.mapInArrow(worker.trimmed(sign), kinds), "signatures")
 
 
 def _groups(batches, names: list[str]):
@@ -292,7 +295,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     def check(batches):
         block, held = None, []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 sets = shingle_sets(part.column(4), size, None)
                 keep = []
                 for i, (one, partner) in enumerate(zip(zip(*(part.column(c).to_pylist() for c in (0, 1)), strict=True), part.column(2).to_pylist(), strict=True)):
@@ -315,7 +318,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(asked) if few else asked, "doc_id").select("a", "block", "partner", "doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(check, "a long, b long")
+    return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(worker.trimmed(check), "a long, b long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -342,13 +345,13 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     reps = materialize(reps.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("set"), "doc_id", "n", "matches", "prefix", *_SKETCH), "representatives")
 
     entries = reps.select("set", F.posexplode("prefix").alias("place", "token")).select("token", "set", F.col("place").cast("long"))
-    shared = materialize(_by_token(entries).mapInArrow(_shared, "token long, set long, place long, holders long"), "shared")
+    shared = materialize(_by_token(entries).mapInArrow(worker.trimmed(_shared), "token long, set long, place long, holders long"), "shared")
     scores = shared.groupBy("set").agg(F.sum("holders").alias("score"))
     sets = reps.select("set", "doc_id", "n", "matches", F.size("prefix").cast("long").alias("length"), F.element_at("prefix", -1).alias("last"), *_SKETCH)
     near = materialize(sets.join(scores, "set"), "near")
 
     led = shared.join(near, "set").select("token", "doc_id", "n", "score", *_SKETCH)
-    led = _by_token(led).mapInArrow(_leaders(percent), "a long, b long").where("a <> b")
+    led = _by_token(led).mapInArrow(worker.trimmed(_leaders(percent)), "a long, b long").where("a <> b")
     counted = led.groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")
     first = materialize(counted.groupBy("b").agg(best).select("a", "b"), "leaders")
@@ -359,7 +362,7 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
         "set", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "matches", "length", "last", *_SKETCH
     )
     tokens = shared.join(joined, "set").select("token", "doc_id", "n", "component", "matches", "place", "length", "last", *_SKETCH)
-    across = _by_token(tokens).mapInArrow(_across(percent), "a long, b long, need long, known long, seen long, may long")
+    across = _by_token(tokens).mapInArrow(worker.trimmed(_across(percent)), "a long, b long, need long, known long, seen long, may long")
     enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("need", "known", "seen", "may")])
     enough = enough.where("shared >= need and known + seen - 2 * shared <= may")
     more = _verified(materialize(enough.select("a", "b"), "across"), docs, size, percent)

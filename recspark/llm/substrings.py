@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recspark.llm import worker
 from recspark.llm.frequent import frequent_grams
 from recspark.llm.words import Words, grams, mix, slices, words_of
 
@@ -234,9 +235,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     packed = (
         docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select("doc_id", _mark().alias("mark"), "text")
-        .mapInArrow(pack, "bucket long, blob binary, " + _RANGE_TYPES)
+        .mapInArrow(worker.trimmed(pack), "bucket long, blob binary, " + _RANGE_TYPES)
     )
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, _RANGE_TYPES)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(worker.trimmed(judge), _RANGE_TYPES)
 
 
 def _mark():
@@ -276,7 +277,7 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, carry: bool = False) ->
 
     kept = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     schema = T.StructType([rows.schema["doc_id"], *kept, *([rows.schema["row"]] if carry else [])])
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(worker.trimmed(cut), schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -26,10 +26,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,11 @@ class Model:
         z = self.weights[0] + float(self.weights[1:] @ self.dictionaries.features(_words(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def forget(self) -> None:
+        """Drop the words remembered."""
+        if self.dictionaries is not None:
+            self.dictionaries.known.clear()
+
 
 def fit_rows(rows: list[tuple[str | None, int]], share: float) -> Model:
     """A model from sample texts and labels; ``share`` is that of toxic labels among all."""
@@ -267,9 +273,11 @@ def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
     """The score of a text, 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def judge(texts: pd.Series) -> pd.Series:
-        worker.claim("toxicity")
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with worker.task("toxicity", lambda: shared.value.forget()):
+            for texts in batches:
+                scores = [shared.value.score(t.as_py()) for t in texts]
+                yield pa.array(scores, pa.float64())
 
     return judge(text)

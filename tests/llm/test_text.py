@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -194,6 +195,24 @@ def test_a_worker_drops_what_another_operator_remembers():
     assert gone == [1]
 
 
+def test_an_unused_worker_drops_what_it_remembers(monkeypatch):
+    monkeypatch.setattr(worker, "IDLE_S", 0.2)
+    held = {"a": 1}
+    for _ in range(2):  # tasks that follow each other keep it
+        with worker.task("one", held.clear):
+            assert held
+        time.sleep(0.05)
+    with worker.task("one", held.clear):
+        time.sleep(0.4)
+        assert held
+    for _ in range(100):
+        if not held:
+            break
+        time.sleep(0.05)
+    assert not held
+    assert list(worker.trimmed(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
+
+
 def test_byte_bpe_long_texts_are_cut_safely(monkeypatch):
     ours = byte_bpe.ByteBpe()
     text = "some words \n\n and  spaces 12 " * 50
