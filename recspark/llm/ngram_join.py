@@ -366,6 +366,8 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     enough = across.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("need", "known", "seen", "may")])
     enough = enough.where("shared >= need and known + seen - 2 * shared <= may")
     more = _verified(materialize(enough.select("a", "b"), "across"), docs, size, percent)
+    # written, as a stage that goes on to another Python operator has two workers for each task
+    more = materialize(more, "across-links")
     return signed, copies.unionByName(linked).unionByName(more)
 
 

@@ -496,3 +496,11 @@ def test_token_files(spark):
         assert np.frombuffer(row["ids"], "<u4").tolist() == ids
         start += len(ids)
     assert token_files.read_tokens(spark, token_files.write_tokens(frame(spark, []))).count() == 0
+
+
+def test_near_copies_reach_the_next_python_operator_as_files(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join([*words, "z"])), (3, "other words here")])
+    _, links = ngram_join.similar_links(docs)
+    assert "MapInArrow" not in links._jdf.queryExecution().toString()
+    assert {tuple(sorted(r)) for r in links.collect()} == {(1, 2)}
